@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACE, docs_of, words
 
 BUCKETS = 1 << 16
-SMOOTHING = 1.0
-THRESHOLD = -0.25
+#: Added to a bucket's trusted count and to the count expected of it, so that rare n-grams weigh little.
+SMOOTHING = 4.0
+THRESHOLD = -0.125
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -48,8 +49,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("r"), F.sum("_t").alias("t"))
     full = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b")).join(F.broadcast(counts), "b", "left").na.fill(0, ["r", "t"])
     one = full.agg(F.array_sort(F.collect_list(F.struct("b", "r", "t"))).alias("c"), F.sum("r").alias("rs"), F.sum("t").alias("ts"))
-    p = lambda n, total: F.log((n + smoothing) / (total + smoothing * buckets))
-    return one.select(F.when(F.col("ts") > 0, F.transform("c", lambda c: p(c["t"], F.col("ts")) - p(c["r"], F.col("rs")))).otherwise(F.transform("c", lambda c: F.lit(0.0))).alias("ratios"))
+    expected = lambda c: c["r"] * F.col("ts") / F.col("rs")
+    ratio = lambda c: F.log((c["t"] + smoothing) / (expected(c) + smoothing))
+    return one.select(F.when(F.col("ts") > 0, F.transform("c", ratio)).otherwise(F.transform("c", lambda c: F.lit(0.0))).alias("ratios"))
 
 
 def repeat_words(windows: Column) -> Column:
