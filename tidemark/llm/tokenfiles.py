@@ -32,7 +32,7 @@ from tidemark.llm.common import docs_of, new_path, written
 END_ID, BLOCK, LEVEL, MAGIC = 2, 1 << 16, 3, b"TIDEIDS1"
 CACHE = 400_000
 #: White space that has no fast path: all but the single space and the single new line.
-RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+RARE_SPACE = "".join(map(chr, (9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 class Units(dict):
