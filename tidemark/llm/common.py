@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
+SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
 
@@ -36,7 +37,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """`[^\\x20\\x09-\\x0D]+` of a text in order; null gives no words."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+"))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -26,14 +26,18 @@ THRESHOLD = -0.125
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
-def ngrams(ws: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket numbers of a word array's unigrams and bigrams."""
-    n = F.size(ws)
-    uni = F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    bi = F.transform(
-        F.slice(ws, 2, F.greatest(n - 1, F.lit(0))),
-        lambda w, i: F.pmod(F.xxhash64(F.get(ws, i), w), F.lit(buckets)).cast("int"),
-    )
+def word_hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
+def bucket_of(hashed: Column, buckets: int) -> Column:
+    return hashed.bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def ngrams(hs: Column, buckets: int = BUCKETS) -> Column:
+    """Bucket numbers of the unigrams and bigrams of an array of word hashes, read by name; buckets: a power of two."""
+    uni = F.transform(hs, lambda h: bucket_of(h, buckets))
+    bi = F.transform(F.slice(hs, 2, F.greatest(F.size(hs) - 1, F.lit(0))), lambda h, i: bucket_of(F.xxhash64(F.get(hs, i), h), buckets))
     return F.concat(uni, bi)
 
 
@@ -44,8 +48,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
     shuffle, so that frequent words do not gather.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_t", F.lit(1))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, "_id", "left")
-    grams = rows.select(F.coalesce("_t", F.lit(0)).alias("_t"), words(F.col("_text")).alias("_w")).select("_t", F.explode(ngrams(F.col("_w"), buckets)).alias("b"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids.hint("merge"), "_id", "left")
+    grams = rows.select(F.coalesce("_t", F.lit(0)).alias("_t"), word_hashes(words(F.col("_text"))).alias("_h")).select("_t", F.explode(ngrams(F.col("_h"), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("r"), F.sum("_t").alias("t"))
     full = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("b")).join(F.broadcast(counts), "b", "left").na.fill(0, ["r", "t"])
     one = full.agg(F.array_sort(F.collect_list(F.struct("b", "r", "t"))).alias("c"), F.sum("r").alias("rs"), F.sum("t").alias("ts"))
@@ -54,41 +58,42 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
     return one.select(F.when(F.col("ts") > 0, F.transform("c", ratio)).otherwise(F.transform("c", lambda c: F.lit(0.0))).alias("ratios"))
 
 
-def repeat_words(windows: Column) -> Column:
-    """Words covered by 3-word windows found twice or more; windows: sorted structs (h, i), as a column read by name."""
-    twice = F.filter(windows, lambda x, k: (x["h"] == F.get(windows, k - 1)["h"]) | (x["h"] == F.get(windows, k + 1)["h"]))
-    return F.array_sort(F.transform(twice, lambda x: x["i"]))
-
-
 def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, _w, statistics) of every document."""
+    """Rows (_id, _h: word hashes, statistics) of every document.
+
+    Windows are sorted only in documents in which one occurs twice.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), words(text).alias("_w"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size("_w")
-    window = lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))
     df = df.select(
-        "_id", "_w",
-        n.cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_text", SPACE + "+", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        "_id", word_hashes(F.col("_w")).alias("_h"),
+        F.size("_w").cast("long").alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
-        F.array_sort(F.transform(F.slice("_w", 1, F.greatest(n - 2, F.lit(0))), window)).alias("_win"),
     )
-    df = df.withColumn("_at", repeat_words(F.col("_win")))
+    inner = F.slice("_h", 1, F.greatest(F.size("_h") - 2, F.lit(0)))
+    df = df.withColumn("_win", F.transform(inner, lambda h, i: F.xxhash64(h, F.get("_h", i + 1), F.get("_h", i + 2))))
+    again = F.size(F.array_distinct("_win")) < F.size("_win")
+    df = df.withColumn("_win", F.when(again, F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    twice = F.filter("_win", lambda x, k: (x["h"] == F.get("_win", k - 1)["h"]) | (x["h"] == F.get("_win", k + 1)["h"]))
+    df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_at", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     return df.select(
-        "_id", "_w", "n_words", "word_chars", "n_symbols",
+        "_id", "_h", "n_words", "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
 def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: id, n_words, the four statistics, base_failed, llr, kept. trusted: one column of ids."""
     ratios = log_ratios(docs, trusted, id_col, text_col, buckets, smoothing).scalar()
-    df = base(docs, id_col, text_col).withColumn("_g", ngrams(F.col("_w"), buckets)).withColumn("_ratios", ratios)
-    llr = F.aggregate("_g", F.lit(0.0), lambda a, b: a + F.get("_ratios", b)) / F.greatest(F.size("_g"), F.lit(1))
+    df = base(docs, id_col, text_col).withColumn("_ratios", ratios)
+    weight = lambda h: F.get("_ratios", bucket_of(h, buckets))
+    both = F.transform("_h", lambda h, i: weight(h) + F.when(i > 0, weight(F.xxhash64(F.get("_h", i - 1), h))).otherwise(0.0))
+    llr = F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.greatest(2 * F.size("_h") - 1, F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     df = df.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), llr.alias("llr"))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
