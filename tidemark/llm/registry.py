@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.jaccard import op10_jaccard_join
 from tidemark.llm.mixing import op8_mix_sources
 from tidemark.llm.quality import op7_quality_rules
 from tidemark.llm.substrings import op4_substring_dedup
@@ -10,5 +11,5 @@ from tidemark.llm.tokenfiles import op3_token_files
 from tidemark.llm.urlrank import op1_url_filters
 from tidemark.llm.warc import op6_warc_archive
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_files, op4_substring_dedup, op5_suffix_dedup, op6_warc_archive, op7_quality_rules, op8_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_files, op4_substring_dedup, op5_suffix_dedup, op6_warc_archive, op7_quality_rules, op8_mix_sources, op10_jaccard_join)}
 ORACLE: dict[str, str] = {}
