@@ -243,8 +243,8 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("k", "ti", "tj").applyInPandas(compare, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = WORDS, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (id, n_shingles, class_id, component_id): a row a document; class_id is the least id of its equal sets."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, tile: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles of all documents, and rows (c, least, comp) of all classes."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("i", F.coalesce("id", F.lit(NO_ID))).withColumn("h", F.xxhash64("text"))
     every = written(profiles(rows, percent, n), "profiles")
@@ -278,13 +278,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     comps = _placed(members, links)
     named = classes.join(comps, "c", "left").select("c", "least", F.coalesce("comp", "c").alias("comp"))
+    return every, named
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = WORDS, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
+    """Rows (id, n_shingles, class_id, component_id): a row a document; class_id is the least id of its equal sets."""
+    every, named = _joined(docs, id_col, text_col, percent, n, tile, rounds)
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "comp").select("c", F.col("least").alias("class_id"), "component_id")
-    out = every.join(named, F.when(F.col("n") > 0, every.c) == named.c, "left")
+    named = written(named.join(names, "comp").select(F.col("c").alias("_c"), F.col("least").alias("class_id"), "component_id"), "named")
+    out = every.join(named, every.c == named["_c"], "left")
     own = lambda x: F.when(F.col("n") > 0, F.col(x)).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own("class_id").alias("class_id"), own("component_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = WORDS, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of docs without those linked, directly or not, to one of smaller id (null first, then by text hash); of repeated rows one. Rows with an empty set all stay."""
+    every, named = _joined(docs, id_col, text_col, percent, n, tile, rounds)
+    first = every.where("n > 0").join(named.select(F.col("c").alias("_c"), "comp"), F.col("c") == F.col("_c")).groupBy("comp").agg(F.min("i").alias("_i"), F.min_by("h", "i").alias("_h"))
+    first = written(first.select("_i", "_h").unionByName(every.where("n = 0").select(F.col("i").alias("_i"), F.col("h").alias("_h"))).distinct(), "first")
+    rows = docs.withColumns({"_i": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text_col)})
+    return rows.join(first, ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"]).select(docs.columns)
+
+
 def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
     comps = components(links)
     return written(members.select("c").distinct().join(comps.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("comp", "c").alias("comp")), "comps")

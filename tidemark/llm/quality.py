@@ -24,6 +24,7 @@ BUCKETS = 1 << 16
 SMOOTHING = 4.0
 THRESHOLD = -0.125
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def word_hashes(ws: Column) -> Column:
@@ -58,16 +59,17 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str,
     return one.select(F.when(F.col("ts") > 0, F.transform("c", ratio)).otherwise(F.transform("c", lambda c: F.lit(0.0))).alias("ratios"))
 
 
-def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (_id, _h: word hashes, statistics) of every document.
+def base(docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of docs as _k0, _k1, ..., _h: word hashes, and the statistics, of every document.
 
     Windows are sorted only in documents in which one occurs twice.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), words(text).alias("_w"))
+    own = [f"_k{k}" for k in range(len(docs.columns))]
+    df = docs.select(*[docs[c].alias(k) for c, k in zip(docs.columns, own)], text.alias("_text"), words(text).alias("_w"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
-        "_id", word_hashes(F.col("_w")).alias("_h"),
+        *own, word_hashes(F.col("_w")).alias("_h"),
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -81,24 +83,36 @@ def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     df = df.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_at", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     return df.select(
-        "_id", "_h", "n_words", "word_chars", "n_symbols",
+        *own, "_h", "n_words", "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
-def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
-    """One row a document: id, n_words, the four statistics, base_failed, llr, kept. trusted: one column of ids."""
-    ratios = log_ratios(docs, trusted, id_col, text_col, buckets, smoothing).scalar()
-    df = base(docs, id_col, text_col).withColumn("_ratios", ratios)
+def _judged(docs: DataFrame, text_col: str, ratios: DataFrame, buckets: int, threshold: float) -> DataFrame:
+    """Rows (_k0, _k1, ..., statistics, base_failed, llr, kept)."""
+    df = base(docs, text_col).withColumn("_ratios", ratios.scalar())
     weight = lambda h: F.get("_ratios", bucket_of(h, buckets))
     both = F.transform("_h", lambda h, i: weight(h) + F.when(i > 0, weight(F.xxhash64(F.get("_h", i - 1), h))).otherwise(0.0))
     llr = F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.greatest(2 * F.size("_h") - 1, F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    df = df.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), llr.alias("llr"))
+    df = df.select(*[f"_k{k}" for k in range(len(docs.columns))], *STATISTICS, failed.alias("base_failed"), llr.alias("llr"))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
+def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
+    """One row a document: id, n_words, the four statistics, base_failed, llr, kept. trusted: one column of ids."""
+    ratios = log_ratios(docs, trusted, id_col, text_col, buckets, smoothing)
+    df = _judged(docs.select(id_col, text_col), text_col, ratios, buckets, threshold)
+    return df.select(F.col("_k0").alias(id_col), *STATISTICS, "base_failed", "llr", "kept")
+
+
+def kept_rows(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that are kept."""
+    ratios = log_ratios(docs, trusted, id_col, text_col, buckets, smoothing)
+    return _judged(docs, text_col, ratios, buckets, threshold).where("kept").select(*[F.col(f"_k{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids that every label calls good and none calls toxic."""
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 AND coalesce(x, 0) = 0").select("doc_id")
