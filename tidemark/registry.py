@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators import belief  # noqa: F401
+from tidemark.plans.register import ORACLE, QUERIES
 
-def flagship(spark, sf_dir):
+__all__ = ["ORACLE", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["served_state"](spark, sf_dir)
