@@ -57,15 +57,15 @@ SRC = """src AS (
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly observations (indicator, place_id, at, value): order value by priority and customer's nation."""
+    """Monthly observations (indicator, place_id, mon, value): order value by priority and customer's nation."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    at = F.expr("cast(date_trunc('MONTH', cast(o_orderdate AS timestamp_ntz)) AS date)")
+    mon = F.expr("cast(date_trunc('MONTH', cast(o_orderdate AS timestamp_ntz)) AS date)")
     j = o.join(c, o.o_custkey == c.c_custkey)
-    return j.groupBy(F.col("o_orderpriority").alias("indicator"), F.col("c_nationkey").cast("long").alias("place_id"), at.alias("at")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"), F.count(F.lit(1)).alias("n"))
+    return j.groupBy(F.col("o_orderpriority").alias("indicator"), F.col("c_nationkey").cast("long").alias("place_id"), mon.alias("mon")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 SERIES = """series AS (
-  SELECT o_orderpriority AS indicator, CAST(c_nationkey AS BIGINT) AS place_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS at,
+  SELECT o_orderpriority AS indicator, CAST(c_nationkey AS BIGINT) AS place_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS mon,
     round(sum(o_totalprice), 2) AS value, count(*) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
