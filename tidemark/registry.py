@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import belief, learn, monitor, series, temporal  # noqa: F401
+from tidemark.operators import belief, catalogue, learn, monitor, series, temporal, textops  # noqa: F401
 from tidemark.plans.register import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
