@@ -54,8 +54,8 @@ def fn_token_match(spark, sf_dir):
 NAMES = "names AS (SELECT p_partkey AS id, lower(p_name) AS name FROM part)"
 
 
-@query("fn_trgm_similarity", f"""WITH {NAMES}, w AS (SELECT id, unnest(string_split(trim(regexp_replace(name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) ) AS w FROM names), g AS (SELECT DISTINCT id, substr('  ' || w || ' ', CAST(i AS BIGINT), 3) AS g FROM w, unnest(range(1, length(w) + 2)) AS r(i)), s AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
-p AS (SELECT a.id AS a, b.id AS b, count(*) AS both_ FROM g a JOIN g b ON a.g = b.g AND a.id < b.id WHERE a.id <= 300 AND b.id <= 300 GROUP BY 1, 2) SELECT a, b, round(both_ / (x.n + y.n - both_), 6) AS similarity FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE both_ / (x.n + y.n - both_) >= 0.55""".replace("WHERE a.id <= 300 AND b.id <= 300 ", "").replace("string_split(trim(regexp_replace(name, '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ')) )", "string_split(trim(regexp_replace(name, '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), ' '))"))
+@query("fn_trgm_similarity", f"""WITH {NAMES}, w AS (SELECT id, unnest(string_split(trim(regexp_replace(name, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ')) AS w FROM names), g AS (SELECT DISTINCT id, substr('  ' || w || ' ', CAST(i AS BIGINT), 3) AS g FROM w, unnest(range(1, length(w) + 2)) AS r(i)), s AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS both_ FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(both_ / (x.n + y.n - both_), 6) AS similarity FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE both_ / (x.n + y.n - both_) >= 0.55""")
 def fn_trgm_similarity(spark, sf_dir):
     """Names with a trigram similarity of 0.55 or more: an inverted table of trigrams, counted by pair."""
     g = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.trigrams(F.lower("p_name")).alias("g"))
