@@ -34,7 +34,7 @@ from tidemark.llm.common import NO_ID, docs_of, written
 from tidemark.llm.graph import components
 from tidemark.llm.windows import _K1, _K2, _K3, Hashes, mix, segments, text_bytes, word_symbols
 
-WORDS, PERCENT, TILE, ROUNDS = 3, 90, 256, 2
+WORDS, PERCENT, TILE, FEW, ROUNDS = 3, 90, 256, 16, 3
 BAND = 1.25
 
 
@@ -61,7 +61,7 @@ def allocation(hi: int, percent: int) -> tuple[int, int]:
     for two in {0, need // 4, need // 2, (need + 1) // 2}:
         one = max(0, need - 2 * two)
         m = two + one
-        cost = one + two * (1 + hi / m) + 3e4 * m * float(np.exp(-0.9 * hi / m))
+        cost = one + two * (1 + hi / m) + 3e3 * m * float(np.exp(-0.9 * hi / m))
         best = min(best or (cost, two, one), (cost, two, one))
     return best[1:]
 
@@ -83,9 +83,9 @@ def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def sketch(s: np.ndarray, percent: int) -> bytes:
-    """Parity of the set's counts in hash buckets, over four times as many as linked sets may differ in; the size depends on the size band."""
+    """Parity of the set's counts in hash buckets, over sixteen times as many as linked sets may differ in, so that few others pass."""
     bits = 64
-    while bits < 4 * most_apart(len(s), percent):
+    while bits < 16 * most_apart(len(s), percent):
         bits *= 2
     odd = np.bincount((mix(s * _K3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -253,6 +253,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, t
 
     made = keys(rows, percent, n)
     shared = made.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("k")
+    shared = written(shared, "shared")  # a table, so that Spark can split a frequent key's rows in the join
     members = written(made.join(shared, "k", "left_semi").distinct(), "members")
     info = classes.select("c", "n", "sketch")
 
@@ -263,17 +264,22 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, t
     comps = members.select("c").distinct().select("c", F.col("c").alias("comp"))
     for turn in range(rounds):
         placed = members.join(comps, "c") if turn else members.withColumn("comp", F.col("c"))
-        hubs = placed.groupBy("k").agg(F.min_by(F.struct("c", "comp"), F.xxhash64(F.lit(turn), "c")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("k", "hub")
+        hubs = placed.groupBy("k").agg(F.min_by(F.struct("c", "comp"), F.xxhash64(F.lit(turn), *(["k", "c"] if turn else ["c"]))).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("k", "hub")
         pairs = placed.join(hubs, "k").where("comp != hub.comp").select(F.least("c", "hub.c").alias("u"), F.greatest("c", "hub.c").alias("v")).distinct()
         found = _join_links(pairs, info, sets, percent)
         links = found if links is None else written(links.unionByName(found), "links")
         comps = _placed(members, links)
 
     placed = members.join(comps, "c")
-    sizes = placed.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("k", F.ceil(F.col("g") / tile).cast("int").alias("nb"))
-    dealt = placed.join(sizes, "k").join(info, "c").withColumn("b", F.pmod(F.xxhash64("c", "k"), F.col("nb")).cast("int"))
+    sizes = placed.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi AND g > 2").select("k", "g", F.ceil(F.col("g") / tile).cast("int").alias("nb"))
+    # two members met as member and hub; few are paired by a join; many in tiles
+    placed = written(placed.join(sizes, "k"), "open")
+    few = placed.where(F.col("g") <= FEW).select("k", "c", "comp")
+    pairs = few.join(few.select("k", F.col("c").alias("v"), F.col("comp").alias("vcomp")), "k").where("c < v AND comp != vcomp").select(F.col("c").alias("u"), "v").distinct()
+    found = _join_links(pairs, info, sets, percent)
+    dealt = placed.where(F.col("g") > FEW).join(info, "c").withColumn("b", F.pmod(F.xxhash64("c", "k"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("k", F.least("b", "o").alias("ti"), F.greatest("b", "o").alias("tj"), "b", "c", "comp", "n", "sketch")
-    found = _verified(written(_tiles(dealt, percent).distinct(), "near"), sets, percent)
+    found = found.unionByName(_verified(written(_tiles(dealt, percent).distinct(), "near"), sets, percent))
     links = written(links.unionByName(found), "links")
 
     comps = _placed(members, links)
