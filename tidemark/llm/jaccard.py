@@ -302,8 +302,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every, named = _joined(docs, id_col, text_col, percent, n, tile, rounds)
     first = every.where("n > 0").join(named.select(F.col("c").alias("_c"), "comp"), F.col("c") == F.col("_c")).groupBy("comp").agg(F.min("i").alias("_i"), F.min_by("h", "i").alias("_h"))
     first = written(first.select("_i", "_h").unionByName(every.where("n = 0").select(F.col("i").alias("_i"), F.col("h").alias("_h"))).distinct(), "first")
-    rows = docs.withColumns({"_i": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text_col)})
-    return rows.join(first, ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"]).select(docs.columns)
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # names of our own: no column of docs can clash
+    rows = docs.toDF(*own.values()).withColumns({"_i": F.coalesce(F.col(own[id_col]).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(own[text_col])})
+    return rows.join(first, ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"]).select(*[F.col(c).alias(name) for name, c in own.items()])
 
 
 def _placed(members: DataFrame, links: DataFrame) -> DataFrame:

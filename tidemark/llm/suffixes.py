@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import docs_of
 from tidemark.llm.windows import keyed, merged, repeated_spans, spans_by_doc
@@ -60,12 +61,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, node: int = NODE) -> DataFrame:
     """docs with the repeated bytes taken from their texts; of a character cut in two, the rest is dropped. Null stays null."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else t if s is None else _cut(t, s)[3].decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    found = repeat_spans(docs, id_col, text_col, width, gram, node)
-    return found.select(*[rest(text_col, "spans").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # names of our own: no column of docs can clash
+    found = repeat_spans(docs.toDF(*own.values()), own[id_col], own[text_col], width, gram, node)
+    return found.select(*[(rest(c, "spans") if name == text_col else F.col(c)).alias(name) for name, c in own.items()])
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,22 +30,46 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import docs_of, new_path, written
 
 END_ID, BLOCK, LEVEL, MAGIC = 2, 1 << 16, 3, b"TIDEIDS1"
-CACHE = 400_000
+CACHE = 800_000
 #: White space that has no fast path: all but the single space and the single new line.
 RARE_SPACE = "".join(map(chr, (9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies use for bytes: printable ones stand for themselves, the rest follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class Units(dict):
-    """Ids, as little-endian bytes, of text units that the tokenizer never merges across; bounded."""
+    """Ids, as little-endian bytes, of text units that the tokenizer never merges across; bounded.
+
+    A unit of Latin letters is one piece of the pattern and goes to the merges directly; a full
+    stop or comma after a letter is a piece of its own.
+    """
 
     def __init__(self, tokenizer, lead: str):
         super().__init__()
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.lead, self.merge = tokenizer, lead, tokenizer.model.tokenize
+        self.table = byte_characters()
+        self.marks = {m: self.packed(tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[unit] = out = np.array(self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids, "<u4").tobytes()
+        letters = unit.isalpha() and max(unit) < "\u0250"
+        if letters:
+            pieces = self.merge((self.lead + unit).encode().decode("latin-1").translate(self.table))
+            out = self.packed([x.id for x in pieces])
+        elif len(unit) > 1 and unit[-1] in self.marks and unit[:-1].isalpha() and max(unit) < "\u0250":
+            out = self[unit[:-1]] + self.marks[unit[-1]]
+        else:
+            out = self.packed(self.tokenizer.encode(self.lead + unit, add_special_tokens=False).ids)
+        self[unit] = out
         return out
 
 

@@ -222,6 +222,7 @@ def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int
     """Rows (d, s, e): symbols s to e - 1 of document d lie in windows that count. docs: (d, text), see `keyed`."""
     pos = (F.shiftleft("d", AT_BITS) + F.col("a")).alias("p")
     shared = _anchors(docs, kind, width, gram, True).groupBy("h").count().where("count > 1").select("h")
+    shared = written(shared, "shared")  # a table, so that Spark can split a large anchor's rows in the join
     runs_ = written(_anchors(docs, kind, width, gram, False).join(shared, "h", "left_semi"), "runs")
 
     kinds = written(runs_.withColumn("p", pos).groupBy("h", "c1", "c2").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.min("l1").alias("l1"), F.min("l2").alias("l2")), "run-kinds")
@@ -264,9 +265,9 @@ def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int
     made = written(_opened(_with_runs(docs, reps), kind, windows, "q1 long, q2 long, d long, a int, m boolean"), "windows").withColumn("p", pos)
     kinds = made.groupBy("q1", "q2").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.max("m").alias("any"))
     if earlier:
-        met = made.join(kinds.where("first < last"), ["q1", "q2"]).where("p > first")
+        met = made.join(written(kinds.where("first < last").select("q1", "q2", "first"), "window-kinds"), ["q1", "q2"]).where("p > first")
     else:
-        met = made.where("NOT m").join(kinds.where("first < last OR any").select("q1", "q2"), ["q1", "q2"], "left_semi")
+        met = made.where("NOT m").join(written(kinds.where("first < last OR any").select("q1", "q2"), "window-kinds"), ["q1", "q2"], "left_semi")
     spans.append(met.select("d", F.col("a").alias("s"), (F.col("a") + width).alias("e")))
     out = spans[0]
     for more in spans[1:]:
@@ -275,12 +276,11 @@ def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with `d`, a number of each different (id, text) that follows their order, null first.
+    """docs, which have no column d, with `d`, a number of each different (id, text) that follows their order, null first.
 
     The id itself where ids are distinct, not null, and small enough to be packed with a place;
     else the place in the sorted list of all different (id, text hash). Repeated rows share it.
     """
-    docs = docs.drop("d") if id_col != "d" and "d" in docs.columns else docs
     ident = F.col(id_col).cast("long")
     known = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(ident).alias("m"), F.min(ident).alias("lo"), F.max(ident).alias("hi"), F.max(F.octet_length(text_col)).alias("len")).first()
     if (known["len"] or 0) >= 1 << AT_BITS:
