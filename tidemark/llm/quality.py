@@ -110,7 +110,9 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 def kept_rows(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that are kept."""
     ratios = log_ratios(docs, trusted, id_col, text_col, buckets, smoothing)
-    return _judged(docs, text_col, ratios, buckets, threshold).where("kept").select(*[F.col(f"_k{k}").alias(c) for k, c in enumerate(docs.columns)])
+    # the row number keeps Spark from copying the whole chain of expressions into a pushed filter, which never ends
+    judged = _judged(docs, text_col, ratios, buckets, threshold).withColumn("_n", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_n") >= 0)).select(*[F.col(f"_k{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
