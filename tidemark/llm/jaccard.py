@@ -61,7 +61,7 @@ def allocation(hi: int, percent: int) -> tuple[int, int]:
     for two in {0, need // 4, need // 2, (need + 1) // 2}:
         one = max(0, need - 2 * two)
         m = two + one
-        cost = one + two * (1 + hi / m) + 3e3 * m * float(np.exp(-0.9 * hi / m))
+        cost = one + two * (1 + hi / m) + 100.0 * m * float(np.exp(-0.9 * hi / m))
         best = min(best or (cost, two, one), (cost, two, one))
     return best[1:]
 
