@@ -55,13 +55,13 @@ def most_apart(hi: int, percent: int) -> int:
 
 @lru_cache(4096)
 def allocation(hi: int, percent: int) -> tuple[int, int]:
-    """(segments of weight 2, segments of weight 1) of least cost: keys made, and an empty part's risk at its price."""
+    """(segments of weight 2, segments of weight 1) of least cost in keys: each empty part makes as many more as there are parts."""
     need = most_apart(hi, percent) + 1
     best = None
     for two in {0, need // 4, need // 2, (need + 1) // 2}:
         one = max(0, need - 2 * two)
         m = two + one
-        cost = one + two * (1 + hi / m) + 100.0 * m * float(np.exp(-0.9 * hi / m))
+        cost = one + two * (1 + hi / m) + need * m * float(np.exp(-0.9 * hi / m))
         best = min(best or (cost, two, one), (cost, two, one))
     return best[1:]
 
