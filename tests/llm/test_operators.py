@@ -99,6 +99,41 @@ def test_op5_odd(odd, none, width, gram, node):
     assert suffixes.without_repeats(none).columns == none.columns and suffixes.without_repeats(odd).count() == len(ODD)
 
 
+@pytest.fixture(scope="module")
+def long_rows():
+    """A passage after 16 MiB of a text, across the end of its second block of bytes, and in a short text; no two of its neighbours are alike."""
+    passage = " ".join(f"p{k * 7919 % 1009}" for k in range(150))
+    count, cut = " ".join(f"{k:x}" for k in range(2_600_000)), (1 << 21) - 300
+    text = f"{count[:cut]} \x01 {passage} \x02 {count[cut:]} \x03 {passage} \x04"
+    assert len(text) > 1 << 24 and text.rindex("p0 ") > 1 << 24
+    return passage, [(1, text, "a"), (2, f"\x0e {passage} \x0f", "a"), (3, "x" * (17 << 20) + " y", "a")]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_op4_op5_long_texts(spark, long_rows, packed, monkeypatch):
+    passage, rows = long_rows
+    if not packed:  # documents' numbers and places that do not fit into one long
+        for module in (substrings, suffixes):
+            monkeypatch.setattr(module, "keyed", lambda *a, f=module.keyed: (f(*a)[0], None))
+    df = spark.createDataFrame(rows[: 2 + packed], DOCS)
+    n = len(passage.split())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.n_spans) for r in substrings.remove_duplicates(df, digests_only=True).collect()}
+    assert got == {1: (len(rows[0][1].split()), n, 1), 2: (n + 2, n, 1)} | ({3: (2, 0, 0)} if packed else {})
+    found, df = len(passage) + 2, df.where("doc_id < 3").unionByName(spark.range(9, 10).selectExpr("id AS doc_id", "repeat('x', 200000) AS text", "'a' AS source"))  # with the spaces around it
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(df).collect()}
+    assert got == {1: (len(rows[0][1]), 2 * found, 2), 2: (len(rows[1][1]), found, 1), 9: (200_000, 200_000, 1)}
+
+
+def test_long_words_hash_alike(monkeypatch):
+    from tidemark.llm import windows
+
+    data = np.frombuffer(("ab " + "c" * 1000 + " d " + "e" * 70 + " f g" * 40).encode(), np.uint8)
+    whole = windows.word_symbols(data, np.array([0, len(data)]))
+    monkeypatch.setattr(windows, "BLOCK", 64)
+    parts = windows.word_symbols(data, np.array([0, len(data)]))
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+
+
 def sets_of(rows, n):
     low = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
     out = []

@@ -10,7 +10,7 @@ lost. Overlapping finds are merged into the longest spans; each of at least `wid
 Defined results: null or empty text has no words; rows of one id are ordered by their text's
 hash; repeated rows (same id and text) are one document, each row with its result; a null id
 comes before all others; a document shorter than `width` words loses nothing; an empty table
-gives an empty result. Other columns play no part. Texts of 16 MB or more are refused.
+gives an empty result. Other columns play no part. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """docs with `spans`, structs (s, e) of word numbers, possibly overlapping; null where there are none."""
-    rows = keyed(docs.select(id_col, text_col), id_col, text_col)
-    spans = repeated_spans(rows.withColumnRenamed(text_col, "text") if text_col != "text" else rows, "words", width, gram, earlier=True)
-    return rows.join(spans_by_doc(spans), "d", "left").drop("d")
+    rows, bits = keyed(docs.select(id_col, text_col), id_col, text_col)
+    spans = repeated_spans(rows.withColumnRenamed(text_col, "text") if text_col != "text" else rows, "words", width, gram, earlier=True, bits=bits)
+    return rows.join(spans_by_doc(spans, width), "d", "left").drop("d")
 
 
 def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, digests_only: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ Defined results: null or empty text has no bytes; repeated rows (same id and tex
 document, each row with its result, and do not repeat each other; rows of one id and different
 texts, and rows with a null id, are documents of their own; a document shorter than `width`
 bytes loses nothing; an empty table gives an empty result. Other columns play no part in
-`remove_repeats` and are kept by `without_repeats`. Texts of 16 MB or more are refused.
+`remove_repeats` and are kept by `without_repeats`. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ WIDTH, GRAM, NODE = 400, 64, 32
 
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, node: int = NODE) -> DataFrame:
     """docs with `spans`, structs (s, e) of byte numbers, possibly overlapping; null where there are none."""
-    rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows.select("d", F.col(text_col).alias("text")), "bytes", width, gram, node)
-    return rows.join(spans_by_doc(spans), "d", "left").drop("d")
+    rows, bits = keyed(docs, id_col, text_col)
+    spans = repeated_spans(rows.select("d", F.col(text_col).alias("text")), "bytes", width, gram, node, bits=bits)
+    return rows.join(spans_by_doc(spans, width), "d", "left").drop("d")
 
 
 def _cut(text: str | None, spans) -> tuple[bytes, int, int, bytes]:

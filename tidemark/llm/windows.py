@@ -17,6 +17,10 @@ Groups are counted with sums made before the shuffle, and rows meet their group'
 join that Spark may split, so a key with a third of all rows is not gathered anywhere. Symbols
 are compared by 128-bit hashes; 64-bit ones only choose candidates.
 
+A text of more than a block of symbols is read in blocks that overlap by the windows' reach, each
+with the place at which it starts, so that memory beside the text itself does not grow with it. A
+run cut by the end of a block is found by the later digits, as one cut by the end of a segment is.
+
 With earlier=False a window counts if it also starts elsewhere; with earlier=True only if it
 also starts earlier, at a smaller id or before in the same document.
 """
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import NO_ID, written
 
 SEGMENT = 1 << 19  # window starts handled at once
-AT_BITS = 24
+BLOCK = 2 * SEGMENT  # symbols of a long text handled at once
+AT_BITS, LONG_BITS = 24, 31  # of a place beside its document's number: where all texts are short, and where some are not
 _rng = np.random.default_rng(20240131)
 #: Two families: a value for each byte, and an odd base for positions.
 _BYTES = _rng.integers(0, 2**64, size=(2, 256), dtype=np.uint64)
@@ -112,9 +117,28 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _long_hash(word: np.ndarray, k: int) -> np.uint64:
+    """What `Hashes` gives for the whole of a word, summed in parts."""
+    total, up = 0, powers(2 + k, BLOCK)[0]
+    for at in range(0, len(word), BLOCK):
+        part = _BYTES[k][word[at : at + BLOCK]]
+        total += int(np.sum(part * up[: len(part)])) * pow(_BASE[2 + k], at, 2**64)
+    return mix(np.array([(total + len(word) * int(_K1)) % 2**64], np.uint64))[0]
+
+
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, at = word_bounds(data, offsets)
-    return *(Hashes(_BYTES[k][data], 2 + k).of(starts, ends) for k in (0, 1)), at
+    if len(data) <= BLOCK:
+        return *(Hashes(_BYTES[k][data], 2 + k).of(starts, ends) for k in (0, 1)), at
+    out = np.empty((2, len(starts)), np.uint64)
+    x = 0
+    while x < len(starts):
+        y = max(int(np.searchsorted(ends, starts[x] + BLOCK, side="right")), x + 1)
+        lo, hi = starts[x], ends[y - 1]
+        for k in (0, 1):
+            out[k, x:y] = _long_hash(data[lo:hi], k) if hi - lo > BLOCK else Hashes(_BYTES[k][data[lo:hi]], 2 + k).of(starts[x:y] - lo, ends[x:y] - lo)
+        x = y
+    return out[0], out[1], at
 
 
 SYMBOLS: dict[str, Callable] = {"bytes": byte_symbols, "words": word_symbols}
@@ -131,13 +155,21 @@ def segments(lengths: np.ndarray, most: int = SEGMENT) -> Iterator[tuple[int, in
         at = end
 
 
-def pieces(texts: pa.Array, kind: str, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(values, second values, offsets, ids) for groups of rows of moderate size."""
-    lengths = texts.fill_null("").cast(pa.large_binary()).value_lengths() if hasattr(texts, "value_lengths") else None
-    n = np.diff(text_bytes(texts)[1]) if lengths is None else lengths.to_numpy(zero_copy_only=False)
-    for a, b in segments(n, 2 * SEGMENT):
-        data, offsets = text_bytes(texts.slice(a, b - a))
-        yield *SYMBOLS[kind](data, offsets), ids[a:b]
+def blocks(data: np.ndarray, offsets: np.ndarray, kind: str, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """(values, second values, offsets, first place, end) of rows of moderate size together, or of the blocks of one long row.
+
+    A block has the symbols from its first place to its end and `reach` more.
+    """
+    if len(offsets) > 2 or len(data) <= BLOCK:
+        v1, v2, at = SYMBOLS[kind](data, offsets)
+        yield v1, v2, at, 0, len(v1)
+        return
+    v1, v2 = SYMBOLS[kind](data, offsets)[:2] if kind == "words" else (None, None)
+    n = len(data) if v1 is None else len(v1)
+    for at in range(0, n, BLOCK):
+        part = slice(at, min(n, at + BLOCK + reach))
+        own = (v1[part], v2[part]) if v1 is not None else byte_symbols(data[part], offsets)[:2]
+        yield *own, np.array([0, part.stop - at]), at, min(n, at + BLOCK)
 
 
 def runs(v1: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -172,14 +204,16 @@ def _anchors(docs: DataFrame, kind: str, width: int, gram: int, only: bool) -> D
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("d").to_numpy(zero_copy_only=False)
-            for v1, v2, offsets, own in pieces(batch.column("text"), kind, ids):
-                h, a, lo, hi, row = runs(v1, offsets, width, gram)
-                if only:
-                    yield _batch(h=h)
-                    continue
-                salt, base = a - lo, offsets[row]
-                c1, c2 = (Hashes(v, k).of(lo, hi + width, salt) for k, v in ((0, v1), (1, v2)))
-                yield _batch(h=h, c1=c1, c2=c2, d=own[row], a=(a - base).astype(np.int32), l1=(a - hi).astype(np.int32), l2=(a - lo).astype(np.int32))
+            lengths = np.diff(text_bytes(batch.column("text"))[1])
+            for x, y in segments(lengths, BLOCK):
+                for v1, v2, offsets, at, _ in blocks(*text_bytes(batch.column("text").slice(x, y - x)), kind, width - 1):
+                    h, a, lo, hi, row = runs(v1, offsets, width, gram)
+                    if only:
+                        yield _batch(h=h)
+                        continue
+                    salt, base = a - lo, offsets[row] - at
+                    c1, c2 = (Hashes(v, k).of(lo, hi + width, salt) for k, v in ((0, v1), (1, v2)))
+                    yield _batch(h=h, c1=c1, c2=c2, d=ids[x:y][row], a=(a - base).astype(np.int32), l1=(a - hi).astype(np.int32), l2=(a - lo).astype(np.int32))
 
     return docs.select("d", "text").mapInArrow(scan, "h long" if only else "h long, c1 long, c2 long, d long, a int, l1 int, l2 int")
 
@@ -189,24 +223,28 @@ def _with_runs(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return docs.select("d", "text").join(reps.groupBy("d").agg(F.collect_list(F.struct("a", "l1", "l2", "m")).alias("r")), "d")
 
 
-def _opened(rows: DataFrame, kind: str, emit: Callable, schema: str) -> DataFrame:
+def _opened(rows: DataFrame, kind: str, width: int, emit: Callable, schema: str) -> DataFrame:
     """emit over the runs of each document: gets values, second values, place of a, l1, l2, m, ids and the rows' bases."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lists = batch.column("d").to_numpy(zero_copy_only=False), batch.column("r")
             lengths = np.diff(text_bytes(batch.column("text"))[1])
-            for x, y in segments(lengths, 2 * SEGMENT):
-                data, offsets = text_bytes(batch.column("text").slice(x, y - x))
-                v1, v2, offsets = SYMBOLS[kind](data, offsets)
+            for x, y in segments(lengths, BLOCK):
                 part = lists.slice(x, y - x)
                 flat, sizes = part.flatten(), part.value_lengths().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(y - x), sizes)
                 a, l1, l2 = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
                 m = flat.field(3).to_numpy(zero_copy_only=False)
-                for k in range(0, len(a), 4000):
-                    cut = slice(k, k + 4000)
-                    yield emit(v1, v2, a[cut] + offsets[row[cut]], l1[cut], l2[cut], m[cut], ids[x:y][row[cut]], offsets[row[cut]])
+                if y == x + 1:
+                    order = np.argsort(a - l2)
+                    a, l1, l2, m = a[order], l1[order], l2[order], m[order]
+                for v1, v2, offsets, at, end in blocks(*text_bytes(batch.column("text").slice(x, y - x)), kind, 2 * width):
+                    first, last = np.searchsorted(a - l2, (at, end)) if y == x + 1 else (0, len(a))  # a run belongs to the block in which it starts
+                    for k in range(first, last, 4000):
+                        cut = slice(k, min(k + 4000, last))
+                        base = offsets[row[cut]] - at
+                        yield emit(v1, v2, a[cut] + base, l1[cut], l2[cut], m[cut], ids[x:y][row[cut]], base)
 
     return rows.select("d", "text", "r").mapInArrow(scan, schema)
 
@@ -218,9 +256,9 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
 
 
-def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int = 0, earlier: bool = False) -> DataFrame:
-    """Rows (d, s, e): symbols s to e - 1 of document d lie in windows that count. docs: (d, text), see `keyed`."""
-    pos = (F.shiftleft("d", AT_BITS) + F.col("a")).alias("p")
+def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int = 0, earlier: bool = False, bits: int | None = None) -> DataFrame:
+    """Rows (d, s, e): symbols s to e - 1 of document d lie in windows that count. docs: (d, text), and bits, see `keyed`."""
+    pos = (F.shiftleft("d", bits) + F.col("a") if bits else F.struct("d", "a")).alias("p")
     shared = _anchors(docs, kind, width, gram, True).groupBy("h").count().where("count > 1").select("h")
     shared = written(shared, "shared")  # a table, so that Spark can split a large anchor's rows in the join
     runs_ = written(_anchors(docs, kind, width, gram, False).join(shared, "h", "left_semi"), "runs")
@@ -233,7 +271,7 @@ def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int
     spans = [met.select("d", (F.col("a") - F.col("l2")).alias("s"), (F.col("a") - F.col("l1") + width).alias("e"))]
 
     many = kinds.groupBy("h").count().where("count > 1").select("h")
-    place = lambda p: (F.shiftright(p, AT_BITS).alias("d"), F.col(p).bitwiseAND((1 << AT_BITS) - 1).cast("int").alias("a"))
+    place = lambda p: (F.shiftright(p, bits).alias("d"), F.col(p).bitwiseAND((1 << bits) - 1).cast("int").alias("a")) if bits else (F.col(f"{p}.d"), F.col(f"{p}.a"))
     reps = kinds.join(many, "h", "left_semi").select(*place("first"), "l1", "l2", (F.col("first") < F.col("last")).alias("m"))
 
     if node:
@@ -248,7 +286,7 @@ def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int
             salt = (i * 4096 + (low - i * node)) * 4096 + (high - i * node)
             return _batch(core=h1.of(a - i * node, a - top + width, i), f1=h1.of(start, end, salt), f2=h2.of(start, end, salt), d=ids, a=(a - base[row]).astype(np.int32), l1=low.astype(np.int32), l2=high.astype(np.int32), m=m)
 
-        made = written(_opened(_with_runs(docs, reps), kind, nodes, "core long, f1 long, f2 long, d long, a int, l1 int, l2 int, m boolean"), "nodes")
+        made = written(_opened(_with_runs(docs, reps), kind, width, nodes, "core long, f1 long, f2 long, d long, a int, l1 int, l2 int, m boolean"), "nodes")
         key = ["core", "f1", "f2"]
         kinds = written(made.withColumn("p", pos).groupBy(*key).agg(F.min("p").alias("first"), F.max("p").alias("last"), F.max("m").alias("m"), F.min("l1").alias("l1"), F.min("l2").alias("l2")).withColumn("m", F.col("m") | (F.col("first") < F.col("last"))), "node-kinds")
         met = made.where("NOT m").join(kinds.where("m").select(*key), key, "left_semi")
@@ -262,7 +300,7 @@ def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int
         q1, q2 = Hashes(v1, 0).of(s, s + width), Hashes(v2, 1).of(s, s + width)
         return _batch(q1=q1, q2=q2, d=ids[row], a=(s - base[row]).astype(np.int32), m=m[row])
 
-    made = written(_opened(_with_runs(docs, reps), kind, windows, "q1 long, q2 long, d long, a int, m boolean"), "windows").withColumn("p", pos)
+    made = written(_opened(_with_runs(docs, reps), kind, width, windows, "q1 long, q2 long, d long, a int, m boolean"), "windows").withColumn("p", pos)
     kinds = made.groupBy("q1", "q2").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.max("m").alias("any"))
     if earlier:
         met = made.join(written(kinds.where("first < last").select("q1", "q2", "first"), "window-kinds"), ["q1", "q2"]).where("p > first")
@@ -275,18 +313,18 @@ def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int
     return out
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs, which have no column d, with `d`, a number of each different (id, text) that follows their order, null first.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int | None]:
+    """docs, which have no column d, with `d`, a number of each different (id, text) that follows their order, null first,
+    and in how many bits a place stands beside d in one long; None where both do not fit and are kept as a struct.
 
     The id itself where ids are distinct, not null, and small enough to be packed with a place;
     else the place in the sorted list of all different (id, text hash). Repeated rows share it.
     """
     ident = F.col(id_col).cast("long")
     known = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(ident).alias("m"), F.min(ident).alias("lo"), F.max(ident).alias("hi"), F.max(F.octet_length(text_col)).alias("len")).first()
-    if (known["len"] or 0) >= 1 << AT_BITS:
-        raise ValueError(f"texts of {1 << AT_BITS} bytes and more must be split first")
-    if known["n"] == known["m"] and (known["n"] == 0 or known["lo"] >= 0 and known["hi"] < 1 << (62 - AT_BITS)):
-        return docs.withColumn("d", ident)
+    bits = AT_BITS if (known["len"] or 0) < 1 << AT_BITS else LONG_BITS  # a text has less than 2**31 bytes
+    if known["n"] == known["m"] and (known["n"] == 0 or known["lo"] >= 0 and known["hi"] < 1 << (62 - bits)):
+        return docs.withColumn("d", ident), bits
     key = [F.coalesce(ident, F.lit(NO_ID)).alias("_i"), F.xxhash64(F.col(text_col)).alias("_h")]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,11 +341,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
     parts = parts.withColumn("_from", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     keys = keys.join(F.broadcast(parts), "_part").select("_i", "_h", (F.col("_from") + F.col("_k")).alias("d"))
-    return docs.withColumns({"_i": key[0], "_h": key[1]}).join(keys, ["_i", "_h"]).drop("_i", "_h")
+    return docs.withColumns({"_i": key[0], "_h": key[1]}).join(keys, ["_i", "_h"]).drop("_i", "_h"), bits if known["n"] < 1 << (62 - bits) else None
 
 
-def spans_by_doc(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+def spans_by_doc(spans: DataFrame, width: int) -> DataFrame:
+    """The spans of each document as a list. Of spans, none shorter than `width`, those that start less than `width` apart
+    are one, so that the list of a long text that repeats itself everywhere stays short."""
+    joined = spans.groupBy("d", F.floor(F.col("s") / width)).agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return joined.groupBy("d").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def merged(spans, n: int) -> tuple[np.ndarray, int]:
