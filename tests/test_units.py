@@ -103,3 +103,30 @@ def test_spec(spark):
 def test_text(spark):
     r = one(spark, n=text.normalize(F.lit("  Ab--C!  ")), t=text.jaccard(text.trigrams(F.lit("word")), text.trigrams(F.lit("words"))), d=text.dice(text.grams(F.lit("night"), 2), text.grams(F.lit("nacht"), 2)), m=text.repair_mojibake(F.lit("cafÃ©")), k=text.has_token(F.lit("a bc d"), F.lit("bc")))
     assert (r.n, round(r.d, 2), r.m, r.k) == ("ab c", 0.25, "café", True) and r.t == pytest.approx(4 / 7)
+
+
+def test_throttle_and_changes_hold_no_history(spark):
+    """A place with most rows arrives in many batches, and none of them is given to Python as a whole."""
+    from tidemark.streaming import events
+
+    n, before = 30_000, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(n).selectExpr("if(id % 10 = 0, id % 3 + 2, 1) AS place_id", "id AS obs_id", "id * 7919 % 30011 * 60000000 AS t", "if(id % 50 < 48, 'a', 'b') AS value")
+    want, changed, state, last = set(), set(), {}, {}
+    for p, i, t, v in sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[2], r[1])):
+        if p not in state or state[p][1] != v or t - state[p][0] >= 1_800_000_000:
+            state[p] = (t, v)
+            want.add(i)
+        if last.get(p) != v:
+            changed.add((p, t, v))
+            last[p] = v
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        out = events.throttled(rows)
+        assert {r.obs_id for r in out.collect()} == want and "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    path = events.new_path(spark, "feed")
+    rows.orderBy("t").coalesce(1).write.parquet(path)
+    got = events.changes(spark.readStream.schema(rows.schema).parquet(path))
+    assert not got.isStreaming and {tuple(r) for r in got.collect()} == changed
+

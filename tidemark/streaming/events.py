@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.register import query
@@ -36,21 +36,27 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "12 hours",
     return s.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def changes(events: DataFrame) -> DataFrame:
-    """(place_id, t, value) where a place's value differs from its last one; the last value is the state."""
+def changes(events: DataFrame, tag: str = "changes") -> DataFrame:
+    """(place_id, t, value) where a place's value differs from its last one; the last values are a table that each batch
+    rewrites and the only state. A batch's rows meet them in a window that spills, so a place's rows are nowhere in memory together."""
+    spark = events.sparkSession
+    path = new_path(spark, tag)
+    last: list[str] = []
+    schema = "place_id long, t long, value string"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["t", "obs_id"])
-        out = []
-        for t, value in zip(rows["t"], rows["value"], strict=True):
-            if value != last:
-                out.append((key[0], t, value))
-                last = value
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["place_id", "t", "value"])
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select("place_id", "t", "obs_id", "value", F.lit(1).alias("new"))
+        if last:
+            rows = rows.unionByName(spark.read.parquet(last[-1]).select("place_id", "t", "obs_id", "value", F.lit(0).alias("new")))
+        w = Window.partitionBy("place_id").orderBy("new", "t", "obs_id")
+        out = rows.withColumn("p", F.lag("value").over(w)).where(F.col("new").eqNullSafe(1) & ~F.col("value").eqNullSafe(F.col("p")))
+        out.select("place_id", "t", "value").write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        state = rows.groupBy("place_id").agg(F.max_by(F.struct("t", "obs_id", "value"), F.struct("new", "t", "obs_id")).alias("x")).select("place_id", "x.*")
+        state.write.mode("overwrite").parquet(f"{path}/last/{number}")
+        last.append(f"{path}/last/{number}")
 
-    return events.groupBy("place_id").applyInPandasWithState(step, "place_id long, t long, value string", "value string", "append", "NoTimeout")
+    events.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(*[x.replace("/last/", "/rows/") for x in last]) if last else spark.createDataFrame([], schema)
 
 
 def refresh(events: DataFrame, tag: str = "belief") -> DataFrame:
@@ -93,7 +99,7 @@ def st_sessions_incremental(spark, sf_dir):
 
 @query("st_change_stream", f"WITH {OBS}, l AS (SELECT place_id, t, value, lag(value) OVER (PARTITION BY place_id ORDER BY t, obs_id) AS p FROM obs) SELECT place_id, t, value FROM l WHERE value IS DISTINCT FROM p")
 def st_change_stream(spark, sf_dir):
-    return appended(changes(observed(spark, sf_dir)), "changes")
+    return changes(observed(spark, sf_dir))
 
 
 @query("st_belief_refresh", f"WITH {OBS} SELECT place_id, direction, value, t, obs_id FROM obs QUALIFY row_number() OVER (PARTITION BY place_id, direction ORDER BY t DESC, obs_id DESC) = 1")
@@ -104,15 +110,21 @@ def st_belief_refresh(spark, sf_dir):
 @query("wn_refresh_throttle", None)
 def wn_refresh_throttle(spark, sf_dir):
     """Of a place's unchanged readings, one is written every half hour at most, counted from the last one written: a state per place."""
+    return throttled(observations(spark, sf_dir).select("place_id", "obs_id", "t", "value"))
+
+
+def throttled(rows: DataFrame, every: int = 1_800_000_000) -> DataFrame:
+    """rows: (place_id, obs_id, t, value). Spark sorts them, and spills; a task holds one batch and the state of one place."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, at, value = None, None, None
+        for pdf in batches:
+            kept = []
+            for k, (p, t, v) in enumerate(zip(pdf["place_id"], pdf["t"], pdf["value"], strict=True)):
+                p = None if pd.isna(p) else p
+                if at is None or p != place or v != value or t - at >= every:
+                    place, at, value = p, t, v
+                    kept.append(k)
+            yield pdf.iloc[kept]
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "obs_id"])
-        at, value, rows = None, None, []
-        for k, (t, v) in enumerate(zip(pdf["t"], pdf["value"], strict=True)):
-            if v != value or at is None or t - at >= 1_800_000_000:
-                at, value = t, v
-                rows.append(k)
-        return pdf.iloc[rows]
-
-    o = observations(spark, sf_dir).select("place_id", "obs_id", "t", "value")
-    return o.groupBy("place_id").applyInPandas(keep, o.schema)
+    return rows.repartition("place_id").sortWithinPartitions("place_id", "t", "obs_id").mapInPandas(keep, rows.schema)
