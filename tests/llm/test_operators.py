@@ -333,6 +333,24 @@ def test_op1_propagation(spark):
     assert {x.host: pytest.approx(x.mass) for x in urlrank.propagate(edges, seeds).collect()} == dict(zip("abc", r))
 
 
+def test_op1_settles(spark):
+    """A solved PageRank with cycles, and hosts more than ten links from a seed."""
+    names = [f"h{k}" for k in range(16)]
+    links = [(a, b, 1) for a, b in zip(names, names[1:])] + [("h3", "h0", 2), ("h9", "h5", 1)]
+    m = np.zeros((16, 16))
+    for a, b, n in links:
+        m[names.index(b), names.index(a)] = n
+    m /= np.maximum(m.sum(axis=0), 1)
+    s = np.eye(16)[0]
+    want = np.linalg.solve(np.eye(16) - 0.85 * m, 0.15 * s)
+    seeds = spark.createDataFrame([("h0", "t", 1.0)], "host string, kind string, mass double")
+    got = urlrank.propagate(spark.createDataFrame(links, "src string, dst string, n long"), seeds, tolerance=1e-6)
+    assert {x.host: pytest.approx(x.mass, rel=1e-5) for x in got.where("kind = 't'").collect()} == dict(zip(names, want))
+    rows = [(0, "http://bad.com/de/1", ""), (1, "http://x1.net/", '<a href="http://bad.com/">')] + [(k, f"http://x{k}.net/", f'<a href="http://x{k - 1}.net/">') for k in range(2, 15)]
+    judged = urlrank.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(judged) == 15 and {r.verdict for r in judged} == {"block"}
+
+
 def best(rows, k=5, step=50):
     v = {(i, tuple(int(np.floor(256 * float(x))) for x in e)) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))

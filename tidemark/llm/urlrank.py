@@ -6,6 +6,9 @@ one spreads distrust, against links, from hosts most of whose pages block rules
 number of links. A host is blocked where distrust times `penalty` exceeds trust. Mass of hosts
 without links leaves the graph, as it would in a walk that stops there.
 
+Steps go on until every host's masses have settled: five steps change none of them, nor reach a
+new host, by more than a share of TOLERANCE. So a host counts however many links from a seed it is.
+
 State and contributions are rows (host, kind, mass); a step is one join with the edges and one
 pre-aggregated sum, so that a host with a third of all links is summed in parts and its edges
 can be split.
@@ -17,6 +20,7 @@ links; an empty table gives an empty result. Other columns play no part.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +31,7 @@ from tidemark.llm.common import ascii_lower, written
 #: (verdict, rule)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, STEPS, PENALTY = 0.85, 10, 1.0
+TOLERANCE = 1e-6
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
@@ -64,18 +69,30 @@ def flows(edges: DataFrame) -> DataFrame:
     return both.join(total, ["host", "kind"]).select("host", "kind", "to", (F.col("n") / F.col("total")).alias("part"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, every: int = 5) -> DataFrame:
-    """seeds: rows (host, kind, mass). The masses after `steps` steps; the lineage is cut every few."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS, every: int = 5, tolerance: float | None = None) -> DataFrame:
+    """seeds: rows (host, kind, mass). The masses after `steps` steps, or, with a tolerance, once `every` steps change none by more than this share of it.
+
+    The lineage is cut every few steps.
+    """
     moves, rank = written(flows(edges), "rank-flows"), seeds
-    for step in range(1, steps + 1):
+    before = seeds
+    for step in itertools.count(1) if tolerance is not None else range(1, steps + 1):
         sent = moves.join(rank, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (damping * F.col("part") * F.col("mass")).alias("mass"))
         rank = seeds.withColumn("mass", (1 - damping) * F.col("mass")).unionByName(sent).groupBy("host", "kind").agg(F.sum("mass").alias("mass"))
         if step % every == 0:
             rank = written(rank, "rank-step")
+            if tolerance is not None and settled(before, rank, tolerance):
+                break
+            before = rank
     return rank
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = DAMPING, steps: int = STEPS, penalty: float = PENALTY) -> DataFrame:
+def settled(before: DataFrame, now: DataFrame, tolerance: float) -> bool:
+    both = before.select("host", "kind", (-F.col("mass")).alias("gain"), F.lit(0.0).alias("mass")).unionByName(now.select("host", "kind", F.col("mass").alias("gain"), "mass"))
+    return both.groupBy("host", "kind").agg(F.sum("gain").alias("gain"), F.sum("mass").alias("mass")).where(F.abs("gain") > tolerance * F.col("mass")).isEmpty()
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = DAMPING, tolerance: float = TOLERANCE, penalty: float = PENALTY) -> DataFrame:
     """Rows (id, host, path, rule, verdict) of every page."""
     urls = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     urls = urls.withColumn("_r", longest_rule(rules, F.col("host"), F.col("path")))
@@ -85,7 +102,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: st
     votes = tally.unpivot(["host", "pages"], ["t", "d"], "kind", "n").where("2 * n > pages").select("host", "kind", "n")
     totals = votes.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = written(votes.join(F.broadcast(totals), "kind").select("host", "kind", (F.col("n") / F.col("all")).alias("mass")), "rank-seeds")  # totals has two rows at most
-    rank = propagate(host_edges(pages, url_col, html_col), seeds, damping, steps)
+    rank = propagate(host_edges(pages, url_col, html_col), seeds, damping, tolerance=tolerance)
     mass = lambda k: F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0))
     bad = rank.groupBy("host").agg(mass("t").alias("trust"), mass("d").alias("distrust")).where(F.col("distrust") * penalty > F.col("trust")).select("host", F.lit("block").alias("_m"))
     out = urls.join(bad, "host", "left")
