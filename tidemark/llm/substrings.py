@@ -1,11 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-The reference of a document is every block of text that starts before it. The index of the
-reference is built from the corpus itself: each run of windows is a block, entered under its
-anchor (see `windows`). A document is factored greedily against it: where its run equals an
-indexed one, the factor is the whole run; at factor boundaries, where only part of a run is
-found, the threshold windows themselves are looked up, so no repeat of the threshold length is
-lost. Overlapping finds are merged into the longest spans; each of at least `width` words.
+"""Substring dedup against all earlier text, by windows grouped at content-chosen anchors.
+
+No relative Lempel-Ziv parse is done: there are no greedy factors, and no step from the end of
+one to the next. A parse needs the whole reference indexed in each task, which does not grow
+with a corpus. Instead every window of `width` words that also starts earlier is found, by the
+passes of `windows`, and overlapping finds are merged: the words that some earlier text repeats
+over `width` words or more, which is all that factors of that length would cover.
 
 Defined results: null or empty text has no words; rows of one id are ordered by their text's
 hash; repeated rows (same id and text) are one document, each row with its result; a null id
