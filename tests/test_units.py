@@ -130,3 +130,15 @@ def test_throttle_and_changes_hold_no_history(spark):
     got = events.changes(spark.readStream.schema(rows.schema).parquet(path))
     assert not got.isStreaming and {tuple(r) for r in got.collect()} == changed
 
+
+def test_backup_reports_lost_rows(spark):
+    import pathlib
+
+    from tidemark.operators import composites
+
+    tables, path = {n: spark.range(0, 100, 1, 4).toDF("k") for n in ("orders", "events")}, composites.new_path(spark, "backup")
+    composites.backup(tables, path)
+    check = lambda: {r.name: (r.n, r.ok) for r in composites.restore_check(tables, path).collect()}
+    assert check() == {"orders": (100, True), "events": (100, True)}
+    next(pathlib.Path(path.removeprefix("file://"), "orders").glob("part-*.parquet")).unlink()
+    assert check() == {"orders": (75, False), "events": (100, True)}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.catalogue import PLACES, places, within
 from tidemark.plans.register import query
+from tidemark.plans.steps import new_path
 from tidemark.sources.files import backup_manifest
 from tidemark.sources.analogues import AS_OF, DAY, HOUR, OBS, micros, observations, table
 
@@ -145,13 +148,25 @@ def fn_registry_classify(spark, sf_dir):
 
 @query("snk_backup", "SELECT 'orders' AS name, count(*) AS n, true AS ok FROM orders UNION ALL SELECT 'events', count(*), true FROM events")
 def snk_backup(spark, sf_dir):
-    """Counts of what was written against what was read: nothing may shrink."""
+    """Tables are written as a backup and read back; counts of what came back against the tables: nothing may shrink."""
+    tables, path = {n: table(spark, sf_dir, n) for n in ("orders", "events")}, new_path(spark, "backup")
+    backup(tables, path)
+    return restore_check(tables, path).select("name", "n", "ok")
+
+
+def backup(tables: dict[str, DataFrame], path: str) -> None:
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+
+
+def restore_check(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Rows (name, n, was, ok): the rows of each table that the backup gives back, and that the table has."""
     def counts(get) -> DataFrame:
         one = lambda n: get(n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n")
-        return one("orders").unionByName(one("events"))
+        return reduce(DataFrame.unionByName, [one(n) for n in tables])
 
-    now = counts(lambda n: table(spark, sf_dir, n))
-    return backup_manifest(now, now, 0.0).select("name", "n", "ok")
+    back = counts(lambda n: tables[n].sparkSession.read.schema(tables[n].schema).parquet(f"{path}/{n}"))
+    return backup_manifest(back, counts(tables.get), 0.0)
 
 
 @query("set_operations", "SELECT count(*) FILTER (WHERE a AND b) AS both_, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE b AND NOT a) AS only_b FROM (SELECT k, bool_or(w = 1) AS a, bool_or(w = 2) AS b FROM (SELECT o_custkey AS k, 1 AS w FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_orderstatus = 'O') GROUP BY 1)")
