@@ -16,9 +16,11 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In a local session (tests) it may be unset; then an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +45,27 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that holds more than one in HOT of all rows is hot; there are fewer than HOT of them, whatever the input.
+HOT = 1000
+
+
+def meet(rows: DataFrame, table: DataFrame, on: list[str], count: str, spread: list[str], total: int | None = None) -> DataFrame:
+    """The rows that have a partner in table, which holds a key once, how many rows have it (`count`) and what to attach.
+
+    Hot keys are at most HOT rows of the table and are broadcast; their rows are then dealt by
+    `spread` instead of the key, so that no task gets more than its share of them.
+    """
+    total = table.agg(F.sum(count)).first()[0] if total is None else total
+    attached = [c for c in table.columns if c not in (*on, count)]
+    hot = F.col(count) * HOT > F.lit(total or 0)
+    named = lambda which, tag: table.where(which).select(*[F.col(c).alias(f"_{tag}{c}") for c in (*on, *attached)], F.lit(True).alias(f"_{tag}"))
+    few, rest = named(hot, "h"), named(~hot, "r")
+    df = rows.join(F.broadcast(few), [F.col(c) == F.col(f"_h{c}") for c in on], "left")
+    keys = [F.when(F.col("_h"), F.xxhash64(F.lit(c), *spread) if k == 0 else F.lit(None)).otherwise(F.col(c)).alias(f"_k{c}") for k, c in enumerate(on)]
+    df = df.select("*", *keys).join(rest.hint("merge"), [F.col(f"_k{c}") == F.col(f"_r{c}") for c in on], "left").where("_h OR _r")
+    return df.select(*rows.columns, *[F.when(F.col("_h"), F.col(f"_h{c}")).otherwise(F.col(f"_r{c}")).alias(c) for c in attached])
+
+
 def words(text: Column) -> Column:
     """`[^\\x20\\x09-\\x0D]+` of a text in order; null gives no words."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

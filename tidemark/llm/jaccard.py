@@ -1,12 +1,16 @@
 """N-gram Jaccard join by universe partition, and the components of its links.
 
-Documents with equal shingle sets are one class. Two sets of Jaccard similarity percent/100 or
-more differ in at most H shingles, H fixed by a band of sizes. The universe of shingles is
-dealt by hash into segments whose weights add up to H + 1: a segment of weight 1 is indexed by
-the part of the set that falls in it; one of weight 2 also by that part less each one of its
-shingles (one-deletion neighbourhood). By the pigeonhole principle two such sets share a key.
-`allocation` picks the weights of a band by cost. An empty part, which would bring many small
-sets together, is only a key together with a part of a second, independent partition.
+Documents with equal shingle sets are one class, dealt with through one of them. Two sets of
+Jaccard similarity percent/100 or more differ in at most H shingles, H fixed by a band of sizes.
+The universe of shingles is dealt by hash into segments whose weights add up to H + 1 + 2x: a
+segment of weight 1 is indexed by the part of the set that falls in it; one of weight 2 also by
+that part less each one of its shingles (one-deletion neighbourhood). Each set may give up
+weight x of its choice, and more where it is smaller than the band allows (`spare`), and by the
+pigeonhole principle two such sets still share a key: sets give up the weight that costs most,
+which is that of empty segments, whose key would bring many small sets together. `allocation`
+picks the weights of a band by the keys that they make and by how many of them are of one
+shingle or none, so that small sets have one-deletion neighbourhoods and larger ones exact parts. An empty segment that is not given up
+is only a key together with a part of a second, independent partition.
 
 Candidates of a key are not all paired. First every member meets the key's hub, chosen anew in
 each of a few rounds; verified links merge components. What is left, members of one key in
@@ -16,7 +20,8 @@ shingles), and no pair that links is lost. Links are verified on the exact sets.
 
 Defined results: null, empty or blank text has an empty set and is linked with nothing; repeated
 rows are documents of one class; a null id is linked like others, but a component's name is its
-least id that is not null (null if there is none); an empty table gives an empty result. Other
+least id that is not null (null if there is none); texts may be of any length; sets of equal
+size and ties of any kind are no special case; an empty table gives an empty result. Other
 columns play no part.
 """
 
@@ -30,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, docs_of, written
+from tidemark.llm.common import docs_of, meet, written
 from tidemark.llm.graph import components
-from tidemark.llm.windows import _K1, _K2, _K3, Hashes, mix, segments, text_bytes, word_symbols
+from tidemark.llm.windows import K1, K2, K3, Hashes, keyed, mix, segments, text_bytes, word_symbols
 
 WORDS, PERCENT, TILE, FEW, ROUNDS = 3, 90, 256, 16, 3
 BAND = 1.25
+THIN = 3  # what a part of at most one shingle, which many sets share, costs in keys
 
 
 @lru_cache(4)
@@ -53,16 +59,29 @@ def most_apart(hi: int, percent: int) -> int:
     return 2 * hi * (100 - percent) // (100 + percent)
 
 
+def spare(hi: int, n: int, percent: int) -> int:
+    """Weight that a set of n shingles in the band up to hi may give up: its partners differ from it by so much less."""
+    return (hi - n) * (100 - percent) // (100 + percent)
+
+
 @lru_cache(4096)
-def allocation(hi: int, percent: int) -> tuple[int, int]:
-    """(segments of weight 2, segments of weight 1) of least cost in keys: each empty part makes as many more as there are parts."""
-    need = most_apart(hi, percent) + 1
+def allocation(lo: int, hi: int, percent: int) -> tuple[int, int, int]:
+    """(segments of weight 2, segments of weight 1, weight x that each set may give up) of least keys, for sets of more than lo and up to hi shingles and their smaller partners."""
+    most, sizes = most_apart(hi, percent), np.unique(np.linspace(max(1, (lo + 1) * percent // 100), hi, 5).astype(int))
     best = None
-    for two in {0, need // 4, need // 2, (need + 1) // 2}:
-        one = max(0, need - 2 * two)
-        m = two + one
-        cost = one + two * (1 + hi / m) + need * m * float(np.exp(-0.9 * hi / m))
-        best = min(best or (cost, two, one), (cost, two, one))
+    for two in {0, most // 4, most // 2, (most + 1) // 2}:
+        for x in (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32):
+            one, m = most + 1 + 2 * x - 2 * two, most + 1 + 2 * x - two
+            if x > most + 1:
+                break
+            cost = 0.0
+            for n in sizes:
+                fill, left = n / m, x + spare(hi, n, percent)
+                empty = (one + 2 * two + two * fill) * np.exp(-fill)  # weight that all empty parts and deletions would need
+                over = max(0.0, empty - left) + 0.4 * np.sqrt(empty) * np.exp(-abs(empty - left) / np.sqrt(empty + 0.1))
+                kept = max(0, two - max(0, left - empty)) if two else 0
+                cost += one + two - max(0, left - two) + kept * fill + over * (most + 1) + THIN * m * (1 + fill) * np.exp(-fill)
+            best = min(best or (cost, two, one, x), (cost, two, one, x))
     return best[1:]
 
 
@@ -73,7 +92,7 @@ def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
         data, offsets = text_bytes(texts.slice(a, b - a))
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         v1, _, at = word_symbols(data, offsets)
-        every = Hashes(v1, 0)
+        every = Hashes(v1)
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             if hi - lo >= n:
                 p = np.arange(lo, hi - n + 1)
@@ -87,7 +106,7 @@ def sketch(s: np.ndarray, percent: int) -> bytes:
     bits = 64
     while bits < 16 * most_apart(len(s), percent):
         bits *= 2
-    odd = np.bincount((mix(s * _K3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    odd = np.bincount((mix(s * K3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -98,90 +117,103 @@ def fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+def weights(counts: np.ndarray, two: int, budget: int) -> np.ndarray:
+    """The segments' weights of a set, with up to `budget` given up: first what an empty part or deletion needs, then what has most keys."""
+    w = np.where(np.arange(len(counts)) < two, 2, 1)
+    for which, cost in (((w == 1) & (counts == 0), 1), ((w == 2) & (counts == 1), 1), ((w == 2) & (counts == 0), 2)):
+        chosen = np.flatnonzero(which)[: budget // cost]
+        w[chosen] -= cost
+        budget -= cost * len(chosen)
+    wide = np.flatnonzero((w == 2) & (counts > 1))
+    wide = wide[np.argsort(-counts[wide], kind="stable")][:budget]
+    w[wide] = 1
+    budget -= len(wide)
+    narrow = np.flatnonzero((w == 1) & (counts > 0))
+    w[narrow[np.argsort(counts[narrow], kind="stable")][:budget]] = 0
+    return w
+
+
 def set_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """The index keys of a sorted set under every band of its possible partners."""
     n, ends, out = len(s), bands(percent), []
-    value, value2 = mix(s * _K1), mix(s * _K2 + _K3)
+    value, value2 = mix(s * K1), mix(s * K2 + K3)
     for b in range(int(np.searchsorted(ends, n)), int(np.searchsorted(ends, n * 100 // percent)) + 1):
         hi = int(ends[b])
         if most_apart(hi, percent) == 0:
             continue
-        two, one = allocation(hi, percent)
+        two, one, extra = allocation(int(ends[b - 1]) if b else 0, hi, percent)
         m, salt = two + one, np.uint64((b + 1) * 0x9E3779B97F4A7C15 % 2**64)
         seg = (mix(s + salt) % np.uint64(m)).astype(np.int64)
         sums, counts = np.zeros(m, np.uint64), np.bincount(seg, minlength=m)
         np.add.at(sums, seg, value)
-        tag = lambda part, i: mix(part * _K2 + i.astype(np.uint64) * _K3 + salt)
-        full = np.flatnonzero(counts)
+        w = weights(counts, two, extra + spare(hi, n, percent))
+        tag = lambda part, i: mix(part * K2 + i.astype(np.uint64) * K3 + salt)
+        full = np.flatnonzero((w > 0) & (counts > 0))
         out.append(tag(sums[full], full))
-        blank = set(np.flatnonzero(counts == 0).tolist())
         if two:
-            in_two = seg < two
-            own = seg[in_two]
-            rest = counts[own] > 1
-            out.append(tag(sums[own[rest]] - value[in_two][rest], own[rest]))
-            blank |= set(np.flatnonzero(counts[:two] == 1).tolist())
-        if blank:
+            less = (w[seg] == 2) & (counts[seg] > 1)
+            out.append(tag(sums[seg[less]] - value[less], seg[less]))
+        blank = np.flatnonzero((w > 0) & (counts == 0) | (w == 2) & (counts == 1))
+        if len(blank):
             m2 = most_apart(hi, percent) + 1
-            seg2 = (mix(s * _K2 + salt) % np.uint64(m2)).astype(np.int64)
+            seg2 = (mix(s * K2 + salt) % np.uint64(m2)).astype(np.int64)
             sums2 = np.zeros(m2, np.uint64)
             np.add.at(sums2, seg2, value2)
-            for i in blank:
-                out.append(mix(sums2 * _K1 + np.arange(m2).astype(np.uint64) * _K2 + np.uint64((i + 1) * int(_K3) % 2**64) + (salt ^ np.uint64(0xFFFFFFFFFFFFFFFF))))
+            parts = sums2 * K1 + np.arange(m2).astype(np.uint64) * K2 + (salt ^ np.uint64(0xFFFFFFFFFFFFFFFF))
+            out.append(mix(parts[None] + ((blank.astype(np.uint64) + np.uint64(1)) * K3)[:, None]).ravel())
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
 def _cls(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
-        one, two = np.sum(mix(s ^ _K1)), np.sum(mix(s ^ _K2))
-        return int(np.int64(mix(np.array([one + np.uint64(len(s)) * _K3]))[0].view(np.int64))), int(two.view(np.int64))
+        one, two = np.sum(mix(s ^ K1)), np.sum(mix(s ^ K2))
+        return int(np.int64(mix(np.array([one + np.uint64(len(s)) * K3]))[0].view(np.int64))), int(two.view(np.int64))
 
 
 def profiles(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """Rows (id, i, h, n, c, c2, sketch): id without null, text hash, set size, the class's hash and a second one, parity sketch."""
+    """Rows (d, id, n, c, c2, sketch): the document's number, its id, set size, the class's two hashes, parity sketch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(len(s), *_cls(s), sketch(s, percent)) for s in shingles(batch.column("text"), n)]
             if rows:
                 size, c, c2, sk = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("i"), batch.column("h"), pa.array(size, pa.int32()), pa.array(c, pa.int64()), pa.array(c2, pa.int64()), pa.array(sk, pa.binary())], names=["id", "i", "h", "n", "c", "c2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("id"), pa.array(size, pa.int32()), pa.array(c, pa.int64()), pa.array(c2, pa.int64()), pa.array(sk, pa.binary())], names=["d", "id", "n", "c", "c2", "sketch"])
 
-    return docs.select("id", "i", "h", "text").mapInArrow(scan, "id long, i long, h long, n int, c long, c2 long, sketch binary")
+    return docs.select("d", "id", "text").mapInArrow(scan, "d long, id long, n int, c long, c2 long, sketch binary")
 
 
-def keys(docs: DataFrame, percent: int, n: int) -> DataFrame:
-    """Rows (k, c): a document's index keys and its class."""
+def keys(reps: DataFrame, percent: int, n: int) -> DataFrame:
+    """Rows (k, c): the index keys of each class; reps: (c, text), a row a class."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ks, cs = [], []
-            for s in shingles(batch.column("text"), n):
-                if len(s):
-                    ks.append(set_keys(s, percent))
-                    cs.append(np.full(len(ks[-1]), _cls(s)[0], np.int64))
-                if sum(map(len, ks[-200:])) > 50_000 or len(ks) >= 2000:
+            ks, cs, held = [], [], 0
+            for c, s in zip(batch.column("c").to_pylist(), shingles(batch.column("text"), n), strict=True):
+                ks.append(set_keys(s, percent))
+                cs.append(np.full(len(ks[-1]), c, np.int64))
+                held += len(ks[-1])
+                if held > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(cs))], names=["k", "c"])
-                    ks, cs = [], []
-            if ks:
+                    ks, cs, held = [], [], 0
+            if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(cs))], names=["k", "c"])
 
-    return docs.select("text").mapInArrow(scan, "k long, c long")
+    return reps.mapInArrow(scan, "k long, c long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """Rows (c, s): the exact sorted set, as bytes, of the document (i, h) that stands for each wanted class c."""
+def _sets(reps: DataFrame, n: int) -> DataFrame:
+    """Rows (c, s): the exact sorted set, as bytes, of each class."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            c = batch.column("c")
+            at, c = 0, batch.column("c")
             for a, b in segments(np.diff(text_bytes(batch.column("text"))[1]), 1 << 20):
                 made = [s.tobytes() for s in shingles(batch.column("text").slice(a, b - a), n)]
                 yield pa.RecordBatch.from_arrays([c.slice(at, b - a), pa.array(made, pa.binary())], names=["c", "s"])
                 at = b
 
-    return docs.join(wanted, ["i", "h"]).select("c", "text").dropDuplicates(["c"]).mapInArrow(scan, "c long, s binary")
+    return reps.mapInArrow(scan, "c long, s binary")
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
@@ -243,22 +275,19 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("k", "ti", "tj").applyInPandas(compare, "u long, v long")
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, tile: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """The profiles of all documents, and rows (c, least, comp) of all classes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("i", F.coalesce("id", F.lit(NO_ID))).withColumn("h", F.xxhash64("text"))
+def _joined(rows: DataFrame, percent: int, n: int, tile: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The profiles of all documents (d, id, text), and rows (c, c2, copies, rep, least, comp) of all classes."""
     every = written(profiles(rows, percent, n), "profiles")
-    classes = every.where("n > 0").groupBy("c").agg(F.min("id").alias("least"), F.min("i").alias("i"), F.min_by("h", "i").alias("h"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.assert_true((F.min("c2") == F.max("c2")) & (F.min("n") == F.max("n")), F.lit("two sets share a hash")).alias("_ok"))
-    classes = written(classes.where("_ok IS NULL").drop("_ok"), "classes")
-
-    made = keys(rows, percent, n)
-    shared = made.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("k")
-    shared = written(shared, "shared")  # a table, so that Spark can split a frequent key's rows in the join
-    members = written(made.join(shared, "k", "left_semi").distinct(), "members")
-    info = classes.select("c", "n", "sketch")
+    classes = every.where("n > 0").groupBy("c", "c2").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes, "classes")
+    info = classes.select(F.col("rep").alias("c"), "n", "sketch")
+    reps = rows.select(F.col("d").alias("c"), "text").join(info.select("c").hint("merge"), "c", "left_semi").dropDuplicates(["c"])
+    reps = written(reps, "reps")
 
-    met = members.select("c").distinct().join(classes.select("c", "i", "h"), "c")
-    sets = written(_sets(rows, met, n), "sets")
+    made = keys(reps, percent, n)
+    shared = made.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo != hi").select("k", "g")
+    members = written(meet(made, written(shared, "shared"), ["k"], "g", ["c"]), "members")
+    sets = written(_sets(reps.join(members.select("c").distinct(), "c", "left_semi"), n), "sets")
 
     links = None
     comps = members.select("c").distinct().select("c", F.col("c").alias("comp"))
@@ -283,28 +312,30 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int, n: int, t
     links = written(links.unionByName(found), "links")
 
     comps = _placed(members, links)
-    named = classes.join(comps, "c", "left").select("c", "least", F.coalesce("comp", "c").alias("comp"))
-    return every, named
+    named = classes.withColumnRenamed("rep", "_c").join(comps.withColumnRenamed("c", "_c"), "_c", "left")
+    return every, named.select("c", "c2", "copies", F.col("_c").alias("rep"), "least", F.coalesce("comp", "_c").alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = WORDS, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
     """Rows (id, n_shingles, class_id, component_id): a row a document; class_id is the least id of its equal sets."""
-    every, named = _joined(docs, id_col, text_col, percent, n, tile, rounds)
+    rows, _ = keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text")
+    every, named = _joined(rows, percent, n, tile, rounds)
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = written(named.join(names, "comp").select(F.col("c").alias("_c"), F.col("least").alias("class_id"), "component_id"), "named")
-    out = every.join(named, every.c == named["_c"], "left")
-    own = lambda x: F.when(F.col("n") > 0, F.col(x)).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), own("class_id").alias("class_id"), own("component_id").alias("component_id"))
+    named = written(named.join(names, "comp").select("c", "c2", "copies", F.col("least").alias("class_id"), "component_id"), "named")
+    every = every.select("d", "id", F.col("n").cast("long").alias("n_shingles"), "c", "c2")
+    linked = meet(every.where("n_shingles > 0"), named, ["c", "c2"], "copies", ["d", "id"])
+    alone = every.where("n_shingles = 0").select("*", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, n: int = WORDS, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of docs without those linked, directly or not, to one of smaller id (null first, then by text hash); of repeated rows one. Rows with an empty set all stay."""
-    every, named = _joined(docs, id_col, text_col, percent, n, tile, rounds)
-    first = every.where("n > 0").join(named.select(F.col("c").alias("_c"), "comp"), F.col("c") == F.col("_c")).groupBy("comp").agg(F.min("i").alias("_i"), F.min_by("h", "i").alias("_h"))
-    first = written(first.select("_i", "_h").unionByName(every.where("n = 0").select(F.col("i").alias("_i"), F.col("h").alias("_h"))).distinct(), "first")
+    """The rows of docs without those linked, directly or not, to one of smaller id (null first, then by text hash); of repeated rows one. Rows with an empty set all stay, of repeated ones one."""
     own = {c: f"_c{k}" for k, c in enumerate(docs.columns)}  # names of our own: no column of docs can clash
-    rows = docs.toDF(*own.values()).withColumns({"_i": F.coalesce(F.col(own[id_col]).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(own[text_col])})
-    return rows.join(first, ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"]).select(*[F.col(c).alias(name) for name, c in own.items()])
+    every_row, _ = keyed(docs.toDF(*own.values()).withColumn(own[id_col], F.col(own[id_col]).cast("long")), own[id_col], own[text_col])
+    every, named = _joined(every_row.select("d", F.col(own[id_col]).alias("id"), F.col(own[text_col]).alias("text")), percent, n, tile, rounds)
+    stay = named.groupBy("comp").agg(F.min("rep").alias("d")).select("d").unionByName(every.where("n = 0").select("d").distinct())
+    kept = every_row.join(written(stay, "stay").hint("merge"), "d", "left_semi").dropDuplicates(["d"])
+    return kept.select(*[F.col(c).cast(docs.schema[name].dataType).alias(name) for name, c in own.items()])
 
 
 def _placed(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ that still hold different keys:
 
 Groups are counted with sums made before the shuffle, and rows meet their group's count in a
 join that Spark may split, so a key with a third of all rows is not gathered anywhere. Symbols
-are compared by 128-bit hashes; 64-bit ones only choose candidates.
+are compared by two hashes, one modulo a power of two and one modulo a prime at two bases;
+single ones only choose candidates.
 
 A text of more than a block of symbols is read in blocks that overlap by the windows' reach, each
 with the place at which it starts, so that memory beside the text itself does not grow with it. A
@@ -34,17 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NO_ID, written
+from tidemark.llm.common import NO_ID, meet, written
 
 SEGMENT = 1 << 19  # window starts handled at once
 BLOCK = 2 * SEGMENT  # symbols of a long text handled at once
 AT_BITS, LONG_BITS = 24, 31  # of a place beside its document's number: where all texts are short, and where some are not
 _rng = np.random.default_rng(20240131)
-#: Two families: a value for each byte, and an odd base for positions.
+#: Two values for each byte.
 _BYTES = _rng.integers(0, 2**64, size=(2, 256), dtype=np.uint64)
-_BASE = [int(x) | 1 for x in _rng.integers(2**62, 2**63, size=4, dtype=np.uint64)]
-_K1, _K2, _K3 = (np.uint64(int(x) | 1) for x in _rng.integers(2**62, 2**63, size=3, dtype=np.uint64))
+_BASE = int(_rng.integers(2**62, 2**63, dtype=np.uint64)) | 1
+_BASES = [int(x) for x in _rng.integers(2**29, 2**31 - 2, size=2)]
+K1, K2, K3 = (np.uint64(int(x) | 1) for x in _rng.integers(2**62, 2**63, size=3, dtype=np.uint64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+PRIME, LOW = np.uint64(2**31 - 1), np.uint64(31)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -54,27 +57,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(family: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if family not in _powers or len(_powers[family][0]) < n:
-        base = _BASE[family]
-        full = lambda v: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n * 5 // 4, v, np.uint64)]))
-        _powers[family] = full(np.uint64(base)), full(np.uint64(pow(base, -1, 2**64)))
-    return _powers[family]
+def _ended(x: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+    return mix(x + (end - start).astype(np.uint64) * K1 + np.asarray(salt).astype(np.uint64) * K2)
 
 
 class Hashes:
-    """Hashes of any substring of a symbol array."""
+    """Hashes of any substring of a symbol array, modulo 2**64: fast, and enough to choose candidates."""
 
-    def __init__(self, values: np.ndarray, family: int):
+    def __init__(self, values: np.ndarray):
         n = len(values)
-        up, self.down = powers(family, n + 1)
+        if 0 not in _powers or len(_powers[0][0]) <= n:
+            full = lambda v: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n * 5 // 4 + 1, v, np.uint64)]))
+            _powers[0] = full(np.uint64(_BASE)), full(np.uint64(pow(_BASE, -1, 2**64)))
+        up, self.down = _powers[0]
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
-        x = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(x + (end - start).astype(np.uint64) * _K1 + np.asarray(salt).astype(np.uint64) * _K2)
+        return _ended((self.sums[end] - self.sums[start]) * self.down[start], start, end, salt)
+
+
+def remainder(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x below 2**62."""
+    x = (x & PRIME) + (x >> LOW)
+    x = (x & PRIME) + (x >> LOW)
+    return x - PRIME * (x >= PRIME)
+
+
+def _prime_powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if lane + 1 not in _powers or len(_powers[lane + 1][0]) <= n:
+        made = []
+        for base in (_BASES[lane], pow(_BASES[lane], -1, int(PRIME))):
+            out = np.ones(1, np.uint64)
+            while len(out) <= n * 5 // 4:
+                out = np.concatenate([out, remainder(out * np.uint64(pow(base, len(out), int(PRIME))))])
+            made.append(out)
+        _powers[lane + 1] = made[0], made[1]
+    return _powers[lane + 1]
+
+
+class PrimeHashes:
+    """Hashes of any substring modulo a prime, at two bases: what is equal here is taken as equal.
+
+    Sequences that differ and agree modulo a power of two whatever the base (as a word of Thue
+    and Morse and its mirror do) differ here.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.lanes = []
+        for lane, v in enumerate((values & PRIME, values >> np.uint64(33))):
+            up, down = _prime_powers(lane, len(values))
+            sums = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(remainder(v * up[: len(v)]), out=sums[1:])
+            self.lanes.append((sums, down))
+
+    def of(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        one, two = (remainder(remainder(sums[end] - sums[start]) * down[start]) for sums, down in self.lanes)
+        return _ended((one << LOW) | two, start, end, salt)
+
+
+FAMILIES = Hashes, PrimeHashes
 
 
 def least(values: np.ndarray, w: int) -> np.ndarray:
@@ -117,28 +159,17 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _long_hash(word: np.ndarray, k: int) -> np.uint64:
-    """What `Hashes` gives for the whole of a word, summed in parts."""
-    total, up = 0, powers(2 + k, BLOCK)[0]
-    for at in range(0, len(word), BLOCK):
-        part = _BYTES[k][word[at : at + BLOCK]]
-        total += int(np.sum(part * up[: len(part)])) * pow(_BASE[2 + k], at, 2**64)
-    return mix(np.array([(total + len(word) * int(_K1)) % 2**64], np.uint64))[0]
-
-
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two halves of each word's 128-bit hash; a word that repeats is hashed once."""
+    import xxhash
+
     starts, ends, at = word_bounds(data, offsets)
-    if len(data) <= BLOCK:
-        return *(Hashes(_BYTES[k][data], 2 + k).of(starts, ends) for k in (0, 1)), at
-    out = np.empty((2, len(starts)), np.uint64)
-    x = 0
-    while x < len(starts):
-        y = max(int(np.searchsorted(ends, starts[x] + BLOCK, side="right")), x + 1)
-        lo, hi = starts[x], ends[y - 1]
-        for k in (0, 1):
-            out[k, x:y] = _long_hash(data[lo:hi], k) if hi - lo > BLOCK else Hashes(_BYTES[k][data[lo:hi]], 2 + k).of(starts[x:y] - lo, ends[x:y] - lo)
-        x = y
-    return out[0], out[1], at
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+    solid = data[~((data == 32) | ((data >= 9) & (data <= 13)))]
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(solid)]).dictionary_encode()
+    raw = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+    halves = np.frombuffer(raw, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), at
 
 
 SYMBOLS: dict[str, Callable] = {"bytes": byte_symbols, "words": word_symbols}
@@ -175,7 +206,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray, kind: str, reach: int) -> Iter
 def runs(v1: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, anchor, first and last window start of every run (places in the whole array), and its row."""
     out = []
-    n, hashed = len(v1), Hashes(v1, 0)
+    n, hashed = len(v1), Hashes(v1)
     if n >= width:
         for lo in range(0, n - width + 1, SEGMENT):
             hi = min(n - width + 1, lo + SEGMENT)  # window starts lo to hi - 1
@@ -212,7 +243,7 @@ def _anchors(docs: DataFrame, kind: str, width: int, gram: int, only: bool) -> D
                         yield _batch(h=h)
                         continue
                     salt, base = a - lo, offsets[row] - at
-                    c1, c2 = (Hashes(v, k).of(lo, hi + width, salt) for k, v in ((0, v1), (1, v2)))
+                    c1, c2 = (family(v).of(lo, hi + width, salt) for family, v in zip(FAMILIES, (v1, v2), strict=True))
                     yield _batch(h=h, c1=c1, c2=c2, d=ids[x:y][row], a=(a - base).astype(np.int32), l1=(a - hi).astype(np.int32), l2=(a - lo).astype(np.int32))
 
     return docs.select("d", "text").mapInArrow(scan, "h long" if only else "h long, c1 long, c2 long, d long, a int, l1 int, l2 int")
@@ -259,20 +290,20 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int = 0, earlier: bool = False, bits: int | None = None) -> DataFrame:
     """Rows (d, s, e): symbols s to e - 1 of document d lie in windows that count. docs: (d, text), and bits, see `keyed`."""
     pos = (F.shiftleft("d", bits) + F.col("a") if bits else F.struct("d", "a")).alias("p")
-    shared = _anchors(docs, kind, width, gram, True).groupBy("h").count().where("count > 1").select("h")
-    shared = written(shared, "shared")  # a table, so that Spark can split a large anchor's rows in the join
-    runs_ = written(_anchors(docs, kind, width, gram, False).join(shared, "h", "left_semi"), "runs")
+    n = F.count(F.lit(1)).alias("n")
+    shared = written(_anchors(docs, kind, width, gram, True).groupBy("h").agg(n).where("n > 1"), "shared")
+    runs_ = written(meet(_anchors(docs, kind, width, gram, False), shared, ["h"], "n", ["d", "a"]), "runs")
 
-    kinds = written(runs_.withColumn("p", pos).groupBy("h", "c1", "c2").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.min("l1").alias("l1"), F.min("l2").alias("l2")), "run-kinds")
-    several = kinds.where("first < last").select("h", "c1", "c2", "first")
-    met = runs_.withColumn("p", pos).join(several, ["h", "c1", "c2"])
+    kinds = runs_.withColumn("p", pos).groupBy("h", "c1", "c2").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.min("l1").alias("l1"), F.min("l2").alias("l2"), n)
+    kinds = written(kinds, "run-kinds")
+    met = meet(runs_.withColumn("p", pos), kinds.where("first < last").select("h", "c1", "c2", "first", "n"), ["h", "c1", "c2"], "n", ["d", "a"])
     if earlier:
         met = met.where("p > first")
     spans = [met.select("d", (F.col("a") - F.col("l2")).alias("s"), (F.col("a") - F.col("l1") + width).alias("e"))]
 
-    many = kinds.groupBy("h").count().where("count > 1").select("h")
+    many = written(kinds.groupBy("h").agg(n).where("n > 1"), "many")
     place = lambda p: (F.shiftright(p, bits).alias("d"), F.col(p).bitwiseAND((1 << bits) - 1).cast("int").alias("a")) if bits else (F.col(f"{p}.d"), F.col(f"{p}.a"))
-    reps = kinds.join(many, "h", "left_semi").select(*place("first"), "l1", "l2", (F.col("first") < F.col("last")).alias("m"))
+    reps = meet(kinds.drop("n"), many, ["h"], "n", ["c1"]).select(*place("first"), "l1", "l2", (F.col("first") < F.col("last")).alias("m"))
 
     if node:
 
@@ -281,7 +312,7 @@ def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int
             a, m, ids = a[row], m[row], ids[row]
             low, high = np.maximum(l1[row], i * node), np.minimum(l2[row], i * node + node - 1)
             top = np.minimum(i * node + node - 1, width - gram)
-            h1, h2 = Hashes(v1, 0), Hashes(v2, 1)
+            h1, h2 = Hashes(v1), PrimeHashes(v2)
             start, end = a - high, a - low + width
             salt = (i * 4096 + (low - i * node)) * 4096 + (high - i * node)
             return _batch(core=h1.of(a - i * node, a - top + width, i), f1=h1.of(start, end, salt), f2=h2.of(start, end, salt), d=ids, a=(a - base[row]).astype(np.int32), l1=low.astype(np.int32), l2=high.astype(np.int32), m=m)
@@ -291,13 +322,13 @@ def repeated_spans(docs: DataFrame, kind: str, width: int, gram: int, node: int
         kinds = written(made.withColumn("p", pos).groupBy(*key).agg(F.min("p").alias("first"), F.max("p").alias("last"), F.max("m").alias("m"), F.min("l1").alias("l1"), F.min("l2").alias("l2")).withColumn("m", F.col("m") | (F.col("first") < F.col("last"))), "node-kinds")
         met = made.where("NOT m").join(kinds.where("m").select(*key), key, "left_semi")
         spans.append(met.select("d", (F.col("a") - F.col("l2")).alias("s"), (F.col("a") - F.col("l1") + width).alias("e")))
-        many = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("done")).where("n > 1 AND NOT done").select("core")
-        reps = kinds.join(many, "core", "left_semi").select(*place("first"), "l1", "l2", "m")
+        many = written(kinds.groupBy("core").agg(n, F.min("m").alias("done")).where("n > 1 AND NOT done").select("core", "n"), "many")
+        reps = meet(kinds, many, ["core"], "n", ["f1"]).select(*place("first"), "l1", "l2", "m")
 
     def windows(v1, v2, a, l1, l2, m, ids, base):
         row, l = _spread(l1, l2)
         s = a[row] - l
-        q1, q2 = Hashes(v1, 0).of(s, s + width), Hashes(v2, 1).of(s, s + width)
+        q1, q2 = Hashes(v1).of(s, s + width), PrimeHashes(v2).of(s, s + width)
         return _batch(q1=q1, q2=q2, d=ids[row], a=(s - base[row]).astype(np.int32), m=m[row])
 
     made = written(_opened(_with_runs(docs, reps), kind, width, windows, "q1 long, q2 long, d long, a int, m boolean"), "windows").withColumn("p", pos)
