@@ -41,7 +41,7 @@ from tidemark.llm.windows import K1, K2, K3, Hashes, keyed, mix, segments, text_
 
 WORDS, PERCENT, TILE, FEW, ROUNDS = 3, 90, 256, 16, 3
 BAND = 1.25
-THIN = 3  # what a part of at most one shingle, which many sets share, costs in keys
+THIN = 5  # what a part of at most one shingle, which many sets share, costs in keys
 
 
 @lru_cache(4)
