@@ -30,19 +30,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again.
-
-    Once it is written, the shuffle files of the job that made it are of no use and go.
-    """
-    spark, path, key = df.sparkSession, new_path(df.sparkSession, tag), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def write_table(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet. Once it is written, the shuffle files of the job that made it are of no use and go."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Cuts the lineage: df as a Parquet table in the shared folder, read again."""
+    path = new_path(df.sparkSession, tag)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: A key that holds more than one in HOT of all rows is hot; there are fewer than HOT of them, whatever the input.

@@ -13,7 +13,8 @@ moved.
 
 Defined results: null text has size 0; null is a source of its own, the last one; null ids are
 allowed; equal rows have equal keys and are chosen together; a source of size 0 has target 0
-and gives nothing; an empty table gives an empty result. Extra columns are passed on by
+and gives nothing; a cap that is no whole number leaves a full source its fraction, chosen like any
+other; texts may be of any length; an empty table gives an empty result. Extra columns are passed on by
 `mixed`; the columns it adds start with `mix_`, and any of the input by such a name are
 replaced.
 """
@@ -81,14 +82,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     left_join = lambda a, b: a.join(b.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     plan = written(left_join(left_join(plan, cross), cut), "mix-cut")
 
-    key_now = rank
-    plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "epochs", "_b", "xb", "cut")
-    df = docs.withColumn("mix_size", size).withColumn("_rank", key_now).join(plan, F.col(source_col).eqNullSafe(F.col("_s")), "left")
-    bucket = F.floor(F.col("_b") * (1 - F.exp(-F.col("_rank.k"))))
-    chosen = F.col("xb").isNull() | (bucket < F.col("xb")) | F.coalesce((bucket == F.col("xb")) & (F.col("_rank") <= F.col("cut")), F.lit(False))
-    copies = F.when(F.col("target") >= cap * F.col("source_size"), F.lit(0)).otherwise(chosen.cast("int")) + F.col("epochs")
+    own = [f"_c{k}" for k in range(len(docs.columns))]  # names of our own: no column of docs can clash with the plan's
+    df = docs.select(*[docs[c].alias(k) for c, k in zip(docs.columns, own)], size.alias("mix_size"), rank.alias("rank"), F.col(source_col).alias("_source"))
+    df = df.join(plan, F.col("_source").eqNullSafe(F.col("source")), "left")
+    bucket = F.floor(F.col("_b") * (1 - F.exp(-F.col("rank.k"))))
+    chosen = F.col("xb").isNull() | (bucket < F.col("xb")) | F.coalesce((bucket == F.col("xb")) & (F.col("rank") <= F.col("cut")), F.lit(False))
+    copies = F.when(F.col("left") > 0, chosen.cast("int")).otherwise(F.lit(0)) + F.col("epochs")
     copies = F.when(F.col("source_size") > 0, copies).otherwise(F.lit(0))
-    return df.select(*[df[c] for c in docs.columns], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.cast("long").alias("mix_copies"))
+    return df.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, own)], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), copies.cast("long").alias("mix_copies"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import new_path
+from tidemark.llm.common import new_path, write_table
 
 DATE = "2024-01-31T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -73,13 +73,15 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         line("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit(PROFILE))), line("WARC-Payload-Length", F.col("n").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", block.cast("string")), F.lit("\r\n"),
     )
-    rec.withColumn("b32", sha1).withColumn("http", http).select("page_id", "record_type", "refers_to", F.when(F.col("record_type") == "response", F.col("digest")).alias("digest"), F.concat(warc, "http").cast("binary").alias("head")).write.parquet(f"{path}/headers")
-    owned = rec.where("record_type = 'response'").groupBy("digest").agg(F.max("page_id").alias("page_id"), F.max(F.col("page_id").isNull()).alias("none"))
+    heads = rec.withColumn("b32", sha1).withColumn("http", http).select("page_id", "record_type", "refers_to", F.when(F.col("record_type") == "response", F.col("digest")).alias("digest"), F.concat(warc, "http").cast("binary").alias("head"))
+    write_table(heads, f"{path}/headers")
+    # of each digest one page: rows meet it by digest and page, so that many copies do not gather, and what is left needs no second shuffle
+    page = [F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("none")]
+    owned = rec.where("record_type = 'response'").groupBy("digest").agg(F.max("page_id").alias("page_id")).select("digest", *page)
     content = pages.select(F.col(id_col).cast("long").alias("page_id"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload"))
-    content = content.withColumn("digest", F.sha2("payload", 256))
-    same = (content.digest == owned.digest) & content.page_id.eqNullSafe(owned.page_id)
-    once = content.join(owned, same, "left_semi").dropDuplicates(["digest"])
-    once.select("digest", "payload").write.parquet(f"{path}/payloads")
+    content = content.select(F.sha2("payload", 256).alias("digest"), *page, "payload")
+    once = content.join(owned.hint("merge"), ["digest", "id", "none"], "left_semi").dropDuplicates(["digest", "id", "none"])
+    write_table(once.select("digest", "payload"), f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -175,5 +177,3 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return parse_records(read_archive(spark, path), digests_only=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-
-OP6_SQL = None
