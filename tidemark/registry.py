@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import belief, catalogue, composites, learn, monitor, series, temporal, textops  # noqa: F401
+from tidemark.operators import belief, catalogue, composites, learn, monitor, places, reports, series, temporal, textops  # noqa: F401
 from tidemark.plans import spec  # noqa: F401
 from tidemark.plans.register import ORACLE, QUERIES
 from tidemark.sources import files  # noqa: F401
