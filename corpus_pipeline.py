@@ -11,31 +11,30 @@ from tidemark.llm.common import docs_of, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or score below the threshold go."""
+    """Documents that fail the base rules or score below the threshold go; without words a document fails."""
     return quality.kept_rows(docs, quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles join, the one of least id stays. The similarity is 0.8."""
+    """Of documents that links of five-word shingles join, the one of least id stays (null first). The similarity is 0.8. Documents without words all stay, of repeated rows one."""
     return jaccard.one_of_each(docs, percent=80, n=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that repeated windows cover go; n_chars follows."""
+    """Bytes that repeated windows cover go; n_chars follows. Null stays null."""
     return suffixes.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every copy of a document that the mix takes."""
+    """A row for every copy of a document that the mix takes; documents without words are taken where their source is not full, and null is a source."""
     mix = mixing.mixed(docs).where("mix_copies > 0")
     return mix.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(docs.columns)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """ids of every text, and whether decoding gives the text back."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs, model), model)
-    return coded.select("doc_id", "source", "lang", "n_chars", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "ids")
+    """ids of every text, and whether decoding gives the text back; null counts as an empty text. Other columns stay."""
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), verified=True)
+    return coded.select(*[c for c in docs.columns if c != "text"], *[c for c in ("n_tokens", "round_trip", "ids") if c not in docs.columns])
 
 
 STAGES = [
