@@ -120,24 +120,6 @@ def rt_crossings(spark, sf_dir):
     return g.select("place_id", F.coalesce("o", "f").alias("value"), F.when(F.col("o").isNotNull(), "crossing").when(F.col("f").isNotNull(), "flow").otherwise("none").alias("basis"))
 
 
-@query("jn_fire_corroboration", f"""WITH {OBS}, f AS (SELECT obs_id, place_id, t FROM obs WHERE value = 'congested'), r AS (SELECT obs_id, place_id, t FROM obs WHERE value = 'closed')
-SELECT f.obs_id AS fire, r.obs_id AS report, round(CAST(0.91 AS DOUBLE), 6) AS confidence FROM f JOIN r ON f.place_id = r.place_id AND abs(f.t - r.t) <= {6 * HOUR} QUALIFY row_number() OVER (PARTITION BY f.obs_id ORDER BY abs(f.t - r.t), r.obs_id) = 1""")
-def jn_fire_corroboration(spark, sf_dir):
-    """Each fire's nearest report within six hours at its place; the report gains a witness."""
-    o, w = observations(spark, sf_dir), 6 * HOUR
-    f = o.where("value = 'congested'").select(F.col("obs_id").alias("fire"), "place_id", "t", F.explode(F.array(*[F.expr(f"t div {w}") + k for k in (-1, 0, 1)])).alias("bucket"))
-    r = o.where("value = 'closed'").select(F.col("obs_id").alias("report"), "place_id", F.col("t").alias("u"), F.expr(f"t div {w}").alias("bucket"))
-    met = f.join(r, ["place_id", "bucket"]).where(F.abs(F.col("t") - F.col("u")) <= w)
-    best = met.groupBy("fire").agg(F.min(F.struct(F.abs(F.col("t") - F.col("u")).alias("gap"), "report")).alias("b"))
-    return best.select("fire", F.col("b.report").alias("report"), F.round(F.least(F.lit(0.97), 1 - (1 - F.lit(0.7)) * 0.3), 6).alias("confidence"))
-
-
-@query("fn_weather_advisory", "SELECT c_custkey AS id, CASE WHEN c_acctbal >= 8000 THEN 'extreme' WHEN c_acctbal >= 5000 THEN 'severe' WHEN c_acctbal >= 2000 THEN 'moderate' ELSE 'none' END AS advisory FROM customer")
-def fn_weather_advisory(spark, sf_dir):
-    v = F.col("c_acctbal")
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(v >= 8000, "extreme").when(v >= 5000, "severe").when(v >= 2000, "moderate").otherwise("none").alias("advisory"))
-
-
 @query("fn_registry_classify", "SELECT p_brand AS indicator, max_by(kind, n * 100 - k) AS kind FROM (SELECT p_brand, CASE WHEN p_name LIKE '%1' THEN 'rate' WHEN p_size > 25 THEN 'stock' ELSE 'flow' END AS kind, CASE WHEN p_name LIKE '%1' THEN 0 WHEN p_size > 25 THEN 1 ELSE 2 END AS k, count(*) AS n FROM part GROUP BY ALL) GROUP BY 1")
 def fn_registry_classify(spark, sf_dir):
     """Ordered rules give each row a kind; the variant with most rows decides, of equal ones the earlier rule."""
