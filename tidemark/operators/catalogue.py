@@ -235,10 +235,15 @@ def jn_spatial_line(spark, sf_dir):
 
 @query("wn_longest_gap", f"WITH {LINE}, g AS (SELECT fraction, lead(fraction) OVER (ORDER BY fraction, id) - fraction AS gap FROM line WHERE m <= 300) SELECT round(max(gap), 5) AS gap, round(max_by(fraction, gap), 5) AS start FROM g")
 def wn_longest_gap(spark, sf_dir):
-    """The longest unwatched stretch between the places on one route (a bounded corridor)."""
-    on = along(places(spark, sf_dir, "customer", "c_custkey", 37, 91)).where("m <= 300")
-    g = on.withColumn("gap", F.lead("fraction").over(Window.orderBy("fraction", "id")) - F.col("fraction"))
-    return g.agg(F.round(F.max("gap"), 5).alias("gap"), F.round(F.max_by("fraction", "gap"), 5).alias("start"))
+    """The longest unwatched stretch between the places on a route. Slices of the route are summed up first: each one's longest inner
+    gap and its ends; only the slices, a fixed number, meet in one window."""
+    on = along(places(spark, sf_dir, "customer", "c_custkey", 37, 91)).where("m <= 300").withColumn("slice", F.floor(F.col("fraction") * 256))
+    inner = on.withColumn("gap", F.lead("fraction").over(Window.partitionBy("slice").orderBy("fraction", "id")) - F.col("fraction"))
+    s = inner.groupBy("slice").agg(F.min("fraction").alias("lo"), F.max("fraction").alias("hi"), F.max(F.struct("gap", (-F.col("fraction")).alias("at"))).alias("x"))
+    s = s.withColumn("between", F.lead("lo").over(Window.orderBy("slice")) - F.col("hi"))
+    best = F.greatest(F.struct(F.coalesce("x.gap", F.lit(-1.0)).alias("gap"), (-F.col("x.at")).alias("start")), F.struct(F.coalesce("between", F.lit(-1.0)).alias("gap"), F.col("hi").alias("start")))
+    found = F.col("b.gap") >= 0  # else there are no two places
+    return s.agg(F.max(best).alias("b")).select(F.when(found, F.round("b.gap", 5)).alias("gap"), F.when(found, F.round("b.start", 5)).alias("start"))
 
 
 @query("wn_top_n_bucket", f"WITH {LINE} SELECT id, CAST(floor(fraction * 8) AS BIGINT) AS bucket FROM line WHERE m <= 3000 QUALIFY row_number() OVER (PARTITION BY floor(fraction * 8) ORDER BY m, id) = 1")

@@ -24,13 +24,18 @@ def contains(lat: Column, lon: Column, edges: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-@query("jn_spatial_contains", f"WITH {PLACES}, e(k, y1, x1, y2, x2) AS (VALUES {', '.join(map(str, EDGES))}), ed AS (SELECT k, y1::DOUBLE AS y1, x1::DOUBLE AS x1, y2::DOUBLE AS y2, x2::DOUBLE AS x2 FROM e), c AS (SELECT id, k FROM pl, ed WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY id, k HAVING count(*) % 2 = 1) SELECT id, min(k) AS area, count(*) AS areas FROM c GROUP BY 1")
+_EDGES = ", ".join(map(str, EDGES))
+
+
+@query("jn_spatial_contains", f"""WITH {PLACES}, e(k, y1, x1, y2, x2) AS (VALUES {_EDGES}), ed AS (SELECT k, y1::DOUBLE AS y1, x1::DOUBLE AS x1, y2::DOUBLE AS y2, x2::DOUBLE AS x2 FROM e), sz AS (SELECT k, round(abs(sum(y1 * x2 - y2 * x1)) / 2, 9) AS size FROM ed GROUP BY 1),
+c AS (SELECT id, k FROM pl, ed WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY id, k HAVING count(*) % 2 = 1) SELECT id, arg_min(k, (size, k)) AS area, count(*) AS areas FROM c JOIN sz USING (k) GROUP BY 1""")
 def jn_spatial_contains(spark, sf_dir):
-    """Points in polygons: an equi-join on bands of latitude with the table of polygons, which is fixed and so broadcast."""
-    rows = [(k, b, [tuple(map(float, e[1:])) for e in EDGES if e[0] == k]) for k, c in AREAS.items() for b in range(int(min(a for a, _ in c) * 10), int(max(a for a, _ in c) * 10) + 1)]
-    polygons = spark.createDataFrame(rows, "k int, band long, edges array<struct<y1:double,x1:double,y2:double,x2:double>>")
+    """Points in polygons, the smallest area first: an equi-join on bands of latitude with the table of polygons, which is fixed and so broadcast."""
+    size = lambda c: round(abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(c, c[1:] + c[:1]))) / 2, 9)
+    rows = [(k, size(c), b, [tuple(map(float, e[1:])) for e in EDGES if e[0] == k]) for k, c in AREAS.items() for b in range(int(min(a for a, _ in c) * 10), int(max(a for a, _ in c) * 10) + 1)]
+    polygons = spark.createDataFrame(rows, "k int, size double, band long, edges array<struct<y1:double,x1:double,y2:double,x2:double>>")
     p = places(spark, sf_dir, "customer", "c_custkey", 37, 91).withColumn("band", F.floor(F.col("lat") * 10)).join(F.broadcast(polygons), "band")
-    return p.where(contains(F.col("lat"), F.col("lon"), F.col("edges"))).groupBy("id").agg(F.min("k").alias("area"), F.count(F.lit(1)).alias("areas"))
+    return p.where(contains(F.col("lat"), F.col("lon"), F.col("edges"))).groupBy("id").agg(F.min_by("k", F.struct("size", "k")).alias("area"), F.count(F.lit(1)).alias("areas"))
 
 
 @query("rs_place_ladder", "SELECT c_custkey AS id, CASE WHEN c_acctbal > 6000 THEN 'code' WHEN n.n_nationkey % 2 = 0 THEN 'nation' WHEN r.r_regionkey > 0 THEN 'region' ELSE 'none' END AS rung, CASE WHEN c_acctbal > 6000 THEN 'c' || c_custkey WHEN n.n_nationkey % 2 = 0 THEN n_name WHEN r.r_regionkey > 0 THEN r_name END AS place FROM customer LEFT JOIN nation n ON c_nationkey = n_nationkey LEFT JOIN region r ON n_regionkey = r_regionkey")
@@ -45,13 +50,17 @@ def rs_place_ladder(spark, sf_dir):
 
 #: Common words by language.
 STOP = {"de": "der|die|und|das|von", "en": "the|of|and|that|is", "es": "la|el|que|los|de", "fr": "le|les|la|des|est"}
-VOTE = {k: f"(?i)(?:^|[^\\p{{L}}])(?:{v})(?![\\p{{L}}])" for k, v in STOP.items()}
 
 
-@query("fn_detect_lang")
+_WORDS = ", ".join(f"len([x FOR x IN w IF x IN {v.split('|')!r}]) AS {k}" for k, v in STOP.items())
+
+
+@query("fn_detect_lang", f"WITH t AS (SELECT doc_id, string_split_regex(lower(text), '[^\\p{{L}}]+') AS w FROM documents), c AS (SELECT doc_id, {_WORDS} FROM t) SELECT doc_id, CASE WHEN greatest(de, en, es, fr) = 0 THEN 'und' WHEN de = greatest(de, en, es, fr) THEN 'de' WHEN en = greatest(de, en, es, fr) THEN 'en' WHEN es = greatest(de, en, es, fr) THEN 'es' ELSE 'fr' END AS lang FROM c")
 def fn_detect_lang(spark, sf_dir):
     """A vote of common words; und where none occurs; of equal counts the first code."""
-    votes = {k: F.regexp_count("text", F.lit(p)) for k, p in VOTE.items()}
+    words = F.split(F.lower("text"), r"[^\p{L}]+")
+    among = lambda v: lambda w: w.isin(v.split("|"))
+    votes = {k: F.size(F.filter(words, among(v))) for k, v in STOP.items()}
     d = table(spark, sf_dir, "documents").select("doc_id", *[v.alias(k) for k, v in votes.items()])
     top = F.greatest(*STOP)
     out = F.lit("und")

@@ -36,18 +36,17 @@ def agreement(obs: DataFrame, window: int = WINDOW, least: int = 5) -> DataFrame
     return got.where(F.col("pairs") >= least).withColumn("rate", F.col("agreed") / F.col("pairs"))
 
 
-def components(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Rows (node, root): the least node reachable over edges (a, b), by label propagation with pointer jumping; every round is a written table."""
+def components(edges: DataFrame) -> DataFrame:
+    """Rows (node, root): the least node reachable over edges (a, b), by label propagation with pointer jumping until nothing changes; every round is a written table."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         new = written(label.join(near, "node", "left").select("node", F.least("root", "r").alias("root"), F.col("root").alias("old")), "labels")
         jump = new.select(F.col("node").alias("root"), F.col("root").alias("up"))
         label = new.join(jump, "root", "left").select("node", F.least("root", "up").alias("root"))
         if new.where("root != old").isEmpty():
-            break
-    return label
+            return label
 
 
 PAIRS = f"""{OBS}, o AS (SELECT * FROM obs WHERE modality = 'assertion'),

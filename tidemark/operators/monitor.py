@@ -50,7 +50,7 @@ r AS (SELECT indicator, place_id, count(*) AS n, min(mon) AS first, max(mon) AS
 @query("ag_gap_radar", f"WITH {GAPS} SELECT indicator, place_id, n, first, last, med, longest, greatest(med * 3, 7) AS allowance, CASE WHEN n < 3 THEN 'thin' WHEN age <= greatest(med * 3, 7) THEN 'fresh' WHEN age <= 6 * greatest(med * 3, 7) THEN 'late' ELSE 'stalled' END AS status, longest >= 6 * med AND longest >= 14 AND age > 30 AS hole FROM r")
 def ag_gap_radar(spark, sf_dir):
     """Per series: span, median and longest gap, what lateness is allowed, and holes."""
-    d = series(spark, sf_dir).select("indicator", "place_id", "mon").distinct()
+    d = series(spark, sf_dir).select("indicator", "place_id", "mon")  # one row a series and month already
     g = d.withColumn("gap", F.datediff("mon", F.lag("mon").over(Window.partitionBy("indicator", "place_id").orderBy("mon"))).cast("long"))
     r = g.groupBy("indicator", "place_id").agg(F.count(F.lit(1)).alias("n"), F.min("mon").alias("first"), F.max("mon").alias("last"), F.median("gap").alias("med"), F.max("gap").alias("longest"))
     age, allow = F.datediff(F.lit("2001-09-01").cast("date"), "last"), F.greatest(F.col("med") * 3, F.lit(7.0))
@@ -108,16 +108,15 @@ def fn_signal_assess(spark, sf_dir):
     return g.select("place_id", F.when(F.col("recent") < 0.5 * base, "outage").when(F.col("recent") < 0.8 * base, "degraded").otherwise("ok").alias("verdict"))
 
 
-@query("ag_pattern_hour", f"""WITH {OBS}, r AS (SELECT DISTINCT place_id, t, value, CAST((t // {HOUR} + 2) % 24 AS INTEGER) AS hour FROM obs WHERE modality = 'assertion'), c AS (SELECT hour, value, count(*) AS n FROM r WHERE place_id % 10 = 1 GROUP BY ALL), s AS (SELECT hour, sum(n) AS total, max(n) AS top FROM c GROUP BY 1), b AS (SELECT hour, min(value) AS modal FROM c JOIN s USING (hour) WHERE n = top GROUP BY 1)
-SELECT h.hour, CASE WHEN coalesce(total, 0) < 20 THEN 'unknown' ELSE modal END AS modal, CAST(coalesce(total, 0) AS BIGINT) AS n, round(CASE WHEN total >= 20 THEN top / total END, 6) AS share FROM (SELECT unnest(range(24))::INTEGER AS hour) h LEFT JOIN s USING (hour) LEFT JOIN b USING (hour)""")
+@query("ag_pattern_hour", f"""WITH {OBS}, r AS (SELECT DISTINCT place_id, t, value, CAST((t // {HOUR} + 2) % 24 AS INTEGER) AS hour FROM obs WHERE modality = 'assertion'), c AS (SELECT place_id, hour, value, count(*) AS n FROM r GROUP BY ALL), s AS (SELECT place_id, hour, sum(n) AS total, max(n) AS top FROM c GROUP BY 1, 2), b AS (SELECT place_id, hour, min(value) AS modal FROM c JOIN s USING (place_id, hour) WHERE n = top GROUP BY 1, 2)
+SELECT place_id, hour, CASE WHEN total < 5 THEN 'unknown' ELSE modal END AS modal, CAST(total AS BIGINT) AS n, round(CASE WHEN total >= 5 THEN top / total END, 6) AS share FROM s JOIN b USING (place_id, hour)""")
 def ag_pattern_hour(spark, sf_dir):
-    """Local hour of day (two hours east), the commonest value and its share; of equal counts the least value; unknown under 20 reports."""
-    r = observations(spark, sf_dir).where("modality = 'assertion' AND place_id % 10 = 1").select("place_id", "t", "value", F.expr(f"cast((t div {HOUR} + 2) % 24 AS int)").alias("hour")).distinct()
-    c = r.groupBy("hour", "value").agg(F.count(F.lit(1)).alias("n"))
-    s = c.groupBy("hour").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("b"))
-    hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
-    enough = F.coalesce(F.col("total"), F.lit(0)) >= 20
-    return hours.join(s, "hour", "left").select("hour", F.when(enough, F.col("b.value")).otherwise("unknown").alias("modal"), F.coalesce("total", F.lit(0)).alias("n"), F.round(F.when(enough, -F.col("b.m") / F.col("total")), 6).alias("share"))
+    """Every place's commonest value by local hour of day (two hours east) and its share; of equal counts the least value; unknown under five reports."""
+    r = observations(spark, sf_dir).where("modality = 'assertion'").select("place_id", "t", "value", F.expr(f"cast((t div {HOUR} + 2) % 24 AS int)").alias("hour")).distinct()
+    c = r.groupBy("place_id", "hour", "value").agg(F.count(F.lit(1)).alias("n"))
+    s = c.groupBy("place_id", "hour").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("b"))
+    enough = F.col("n") >= 5
+    return s.select("place_id", "hour", F.when(enough, F.col("b.value")).otherwise("unknown").alias("modal"), "n", F.round(F.when(enough, -F.col("b.m") / F.col("n")), 6).alias("share"))
 
 
 @query("wn_lag_transitions", f"WITH {OBS}, l AS (SELECT place_id, value, lag(value) OVER (PARTITION BY place_id, direction ORDER BY t, obs_id) AS p FROM obs WHERE modality = 'assertion') SELECT place_id, count(*) FILTER (WHERE value <> p) AS changes FROM l GROUP BY 1 ORDER BY changes DESC, place_id LIMIT 8")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
@@ -135,14 +135,45 @@ def sr_scan(spark, sf_dir):
     return t.crossJoin(F.broadcast(tested)).orderBy(F.abs("rho").desc(), "indicator", "place_id").limit(15)  # tested is one row
 
 
-@query("sr_refusals", f"""WITH {SERIES}, {KINDS}, m AS (SELECT indicator, place_id, kind, count(*) AS n, count(*) FILTER (WHERE n = 1) AS thin FROM series JOIN kinds USING (indicator) GROUP BY ALL)
-SELECT indicator, place_id, array_to_string(list_filter([CASE WHEN kind = 'unclassified' THEN 'unclassified' END, CASE WHEN kind = 'cumulative' THEN 'cumulative' END, CASE WHEN n < 12 THEN 'too few points' END, CASE WHEN 2 * thin > n THEN 'thin' END], lambda x: x IS NOT NULL), ',') AS reasons FROM m""")
-def sr_refusals(spark, sf_dir):
-    """Why a series may not be correlated, as data."""
+#: The concept and the grain of place that each measure has, beside its kind.
+CONCEPT = {"1-URGENT": "orders", "2-HIGH": "orders", "3-MEDIUM": "value", "4-NOT SPECIFIED": None, "5-LOW": "value"}
+MIN_N, MONOTONE = 12, 0.8
+
+
+def facts_of(s: DataFrame) -> DataFrame:
+    """A row a series (indicator, place_id): n points of known precision, points left out, kind, concept, grain, and how monotone it is (rank correlation with its own order)."""
+    known = s.where("n > 1")  # a month with one order stands for a date that nobody knows
+    r = average_rank(known, IP, "value", "rv").withColumn("at", F.row_number().over(Window.partitionBy(*IP).orderBy("mon")))
+    g = r.groupBy(*IP).agg(F.count(F.lit(1)).alias("points"), F.corr("rv", "at").alias("trend"))
     kind = F.create_map(*[F.lit(x) for kv in MEASURE.items() for x in kv])[F.col("indicator")]
-    m = series(spark, sf_dir).groupBy(*IP).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("n") == 1).alias("thin")).withColumn("kind", kind)
-    reasons = F.array(F.when(F.col("kind") == "unclassified", "unclassified"), F.when(F.col("kind") == "cumulative", "cumulative"), F.when(F.col("c") < 12, "too few points"), F.when(2 * F.col("thin") > F.col("c"), "thin"))
-    return m.select(*IP, F.array_join(F.array_compact(reasons), ",").alias("reasons"))
+    concept = F.create_map(*[F.lit(x) for kv in CONCEPT.items() if kv[1] for x in kv])[F.col("indicator")]
+    return s.groupBy(*IP).agg(F.count(F.lit(1)).alias("all")).join(g, IP, "left").na.fill(0, ["points"]).select(*IP, "points", (F.col("all") - F.col("points")).alias("left_out"), "trend", kind.alias("kind"), concept.alias("concept"), F.when((F.col("indicator") == "5-LOW") & (F.col("place_id") % 4 == 0), "region").otherwise("nation").alias("grain"))
+
+
+def refusals(pairs: DataFrame, differenced: bool = False, same_concept: bool = False) -> Column:
+    """Every reason against correlating two series, a and b, structs of `facts_of`; empty means go."""
+    a, b = F.col("a"), F.col("b")
+    either = lambda test: test(a) | test(b)
+    reasons = [
+        F.when(either(lambda x: x["kind"].isNull() | (x["kind"] == "unclassified")), "unclassified"), F.when(either(lambda x: x["kind"] == "cumulative") & F.lit(not differenced), "cumulative"), F.when(either(lambda x: x["kind"] == "status"), "status"),
+        F.when(a["grain"] != b["grain"], "mixed grain"), F.when((a["concept"] == b["concept"]) & (a["indicator"] != b["indicator"]) & F.lit(not same_concept), "same concept"), F.when(either(lambda x: x["points"] < MIN_N), "too few points"),
+        F.when(either(lambda x: x["left_out"] > 0), "unknown precision left out"),
+        F.when((F.abs(a["trend"]) >= MONOTONE) & (F.abs(b["trend"]) >= MONOTONE) & (a["points"] >= MIN_N) & (b["points"] >= MIN_N) & F.lit(not differenced), "both monotone"),
+    ]
+    return F.array_compact(F.array(*reasons))
+
+
+_CONCEPTS = "con(indicator, concept) AS (VALUES " + ", ".join(f"('{k}', {repr(v) if v else 'NULL'})" for k, v in CONCEPT.items()) + ")"
+
+
+@query("sr_refusals", f"""WITH {SERIES}, {KINDS}, {_CONCEPTS}, kn AS (SELECT *, rank() OVER (PARTITION BY indicator, place_id ORDER BY value) + (count(*) OVER (PARTITION BY indicator, place_id, value) - 1) / 2 AS rv, row_number() OVER (PARTITION BY indicator, place_id ORDER BY mon) AS at_ FROM series WHERE n > 1),
+g AS (SELECT indicator, place_id, count(*) AS points, corr(rv, at_) AS trend FROM kn GROUP BY 1, 2), f AS (SELECT s.indicator, s.place_id, coalesce(points, 0) AS points, c - coalesce(points, 0) AS left_out, trend, kind, concept, CASE WHEN s.indicator = '5-LOW' AND s.place_id % 4 = 0 THEN 'region' ELSE 'nation' END AS grain FROM (SELECT indicator, place_id, count(*) AS c FROM series GROUP BY 1, 2) s LEFT JOIN g USING (indicator, place_id) JOIN kinds USING (indicator) JOIN con USING (indicator))
+SELECT a.indicator AS a, b.indicator AS b, a.place_id, array_to_string(list_filter([CASE WHEN a.kind = 'unclassified' OR b.kind = 'unclassified' THEN 'unclassified' END, CASE WHEN a.kind = 'cumulative' OR b.kind = 'cumulative' THEN 'cumulative' END, CASE WHEN a.kind = 'status' OR b.kind = 'status' THEN 'status' END, CASE WHEN a.grain <> b.grain THEN 'mixed grain' END, CASE WHEN a.concept = b.concept THEN 'same concept' END, CASE WHEN a.points < 12 OR b.points < 12 THEN 'too few points' END, CASE WHEN a.left_out > 0 OR b.left_out > 0 THEN 'unknown precision left out' END, CASE WHEN abs(a.trend) >= 0.8 AND abs(b.trend) >= 0.8 AND a.points >= 12 AND b.points >= 12 THEN 'both monotone' END], lambda x: x IS NOT NULL), ',') AS reasons FROM f a JOIN f b ON a.place_id = b.place_id AND a.indicator < b.indicator""")
+def sr_refusals(spark, sf_dir):
+    """Why two series of a place may not be correlated, as data: every pair of measures of every place."""
+    f = facts_of(series(spark, sf_dir)).select("place_id", F.struct("indicator", "points", "left_out", "trend", "kind", "concept", "grain").alias("a"))
+    pairs = f.join(f.select("place_id", F.col("a").alias("b")), "place_id").where("a.indicator < b.indicator")
+    return pairs.select(F.col("a.indicator").alias("a"), F.col("b.indicator").alias("b"), "place_id", F.array_join(refusals(pairs), ",").alias("reasons"))
 
 
 @query("sr_trend", f"""WITH {SERIES}, r AS (SELECT *, row_number() OVER (PARTITION BY indicator, place_id ORDER BY mon DESC) AS k, count(*) OVER (PARTITION BY indicator, place_id) AS c FROM series),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.plans.register import query
-from tidemark.sources.analogues import table
+from tidemark.sources.analogues import AS_OF, DAY, HOUR, micros, table
 
 #: An ordered cascade: the first rule that fits a text decides.
 RULES = [("reject", r"(?i)idiot|moron"), ("mail", r"[\w.]+@[\w.]+"), ("number", r"\d{6,}"), ("marked", r"[#$%&*]{3}")]
@@ -58,20 +58,19 @@ NAMES = "names AS (SELECT p_partkey AS id, lower(p_name) AS name FROM part)"
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS both_ FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT a, b, round(both_ / (x.n + y.n - both_), 6) AS similarity FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE both_ / (x.n + y.n - both_) >= 0.55""")
 def fn_trgm_similarity(spark, sf_dir):
     """Names with a trigram similarity of 0.55 or more: an inverted table of trigrams, counted by pair."""
-    g = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.trigrams(F.lower("p_name")).alias("g"))
-    rows = g.select("id", F.size("g").alias("n"), F.explode("g").alias("x"))
-    pairs = rows.join(rows.select(F.col("id").alias("b"), F.col("n").alias("m"), "x"), "x").where("id < b").groupBy(F.col("id").alias("a"), "b", "n", "m").agg(F.count(F.lit(1)).alias("k"))
-    sim = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-    return pairs.where(sim >= 0.55).select("a", "b", F.round(sim, 6).alias("similarity"))
+    g = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
+    names = g.select("name").distinct().select("name", X.trigrams(F.col("name")).alias("g"))  # equal names are compared once
+    near = X.similar(names.select(F.col("name").alias("a"), F.col("g").alias("ga")), names.select(F.col("name").alias("b"), F.col("g").alias("gb")), 0.55)
+    left, right = g.select(F.col("id").alias("x"), F.col("name").alias("a")), g.select(F.col("id").alias("y"), F.col("name").alias("b"))
+    pairs = near.join(left, "a").join(right, "b").where("x < y")
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
-@query("fn_dice_bigram", "WITH b AS (SELECT DISTINCT r_regionkey AS k, substr(lower(r_name), CAST(i AS BIGINT), 2) AS g FROM region, unnest(range(1, length(r_name))) AS r(i)), m AS (SELECT DISTINCT n_nationkey AS k, substr(lower(n_name), CAST(i AS BIGINT), 2) AS g FROM nation, unnest(range(1, length(n_name))) AS r(i)), x AS (SELECT k, count(*) AS n FROM b GROUP BY 1), y AS (SELECT k, count(*) AS n FROM m GROUP BY 1) SELECT m.k AS nation, b.k AS region, round(2 * count(*) / (any_value(x.n) + any_value(y.n)), 6) AS dice FROM m JOIN b ON m.g = b.g JOIN x ON x.k = b.k JOIN y ON y.k = m.k GROUP BY ALL")
+@query("fn_dice_bigram", """WITH n AS (SELECT DISTINCT lower(p_name) AS a, lower(p_brand || ' ' || p_type) AS b FROM part), x AS (SELECT a, b, list_distinct([substr(a, CAST(i AS BIGINT), 2) FOR i IN range(1, length(a))]) AS ga, list_distinct([substr(b, CAST(i AS BIGINT), 2) FOR i IN range(1, length(b))]) AS gb FROM n) SELECT a, b, round(2 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)), 6) AS dice FROM x""")
 def fn_dice_bigram(spark, sf_dir):
-    """Dice's coefficient of the bigrams of names that share one."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), X.grams(F.lower("n_name"), 2).alias("a"))
-    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), X.grams(F.lower("r_name"), 2).alias("b"))
-    met = n.withColumn("g", F.explode("a")).join(r.withColumn("g", F.explode("b")), "g").select("nation", "region", "a", "b").distinct()
-    return met.select("nation", "region", F.round(X.dice(F.col("a"), F.col("b")), 6).alias("dice"))
+    """Dice's coefficient of the bigrams of every part's name and its label."""
+    n = table(spark, sf_dir, "part").select(F.lower("p_name").alias("a"), F.lower(F.concat_ws(" ", "p_brand", "p_type")).alias("b")).distinct()
+    return n.select("a", "b", F.round(X.dice(X.grams(F.col("a"), 2), X.grams(F.col("b"), 2)), 6).alias("dice"))
 
 
 @query("rt_news_dedupe", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source, left(regexp_replace(text, '\\s+', ' ', 'g'), 80) ORDER BY doc_id) = 1")
@@ -148,9 +147,10 @@ def fn_slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.btrim(F.regexp_replace(F.lower(F.concat_ws(" ", "p_name", "p_type")), "[^a-z0-9]+", "_"), F.lit("_")).alias("slug"))
 
 
-@query("ag_string_agg", "SELECT n_regionkey AS region, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+@query("ag_string_agg", "SELECT p_brand AS brand, string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS names, count(*) AS n FROM part GROUP BY 1")
 def ag_string_agg(spark, sf_dir):
-    return table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("names"))
+    """The different names of each brand in order, with the number of its parts."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.array_join(F.array_sort(F.collect_set("p_name")), ", ").alias("names"), F.count(F.lit(1)).alias("n"))
 
 
 @query("jn_lateral_jsonb_each", "SELECT event_id, unnest(json_keys(props)) AS key, CAST(json_extract_string(props, '$.k') AS INTEGER) AS value FROM events")
@@ -158,13 +158,31 @@ def jn_lateral_jsonb_each(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,int>")).alias("key", "value"))
 
 
-@query("jn_event_article", """WITH e AS (SELECT event_id, event_id % 1000 AS at_, CASE event_type WHEN 'click' THEN 'thing' WHEN 'view' THEN 'tion' WHEN 'error' THEN 'heit' ELSE 'ment' END AS word FROM events WHERE event_type IN ('click', 'error') AND value > 150), d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE n_chars < 2000)
-SELECT event_id, doc_id FROM e JOIN d ON abs(doc_id - at_) <= 20 AND contains(t, word) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(doc_id - at_), doc_id) <= 3""")
+#: The word that an article on an event of each type has.
+TYPE_WORDS = {"click": "thing", "view": "tion", "purchase": "ment", "error": "heit", "signup": "able"}
+LANGS = ["en", "de", "es", "fr"]
+
+
+def event_articles(e: DataFrame, d: DataFrame, window: int, most: int = 3) -> DataFrame:
+    """Events (event_id, t, place, word) and articles (doc_id, u, place, words): the nearest `most` articles that name place and word within the window, by time buckets of its width."""
+    left = e.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("t") / window) + k for k in (-1, 0, 1)])))
+    right = d.select("doc_id", "u", "place", F.explode("words").alias("word"), F.floor(F.col("u") / window).alias("bucket"))
+    met = left.join(right, ["bucket", "place", "word"]).where(F.abs(F.col("u") - F.col("t")) <= window)
+    w = Window.partitionBy("event_id").orderBy(F.abs(F.col("u") - F.col("t")), "doc_id")
+    return met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("event_id", "doc_id")
+
+
+_TYPES = ", ".join(f"('{k}', '{v}')" for k, v in TYPE_WORDS.items())
+
+
+@query("jn_event_article", f"""WITH m AS (SELECT max(doc_id) + 1 AS m FROM documents), tw(k, word) AS (VALUES {_TYPES}), e AS (SELECT event_id, epoch_us(ts) AS t, {LANGS!r}[user_id % 4 + 1] AS place, word FROM events JOIN tw ON k = event_type),
+d AS (SELECT doc_id, {AS_OF - 30 * DAY} + doc_id * ({30 * DAY} // m) AS u, lang AS place, word FROM documents, m, tw WHERE contains(lower(text), word))
+SELECT event_id, doc_id FROM e JOIN d USING (place, word) WHERE abs(t - u) <= {6 * HOUR} QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(t - u), doc_id) <= 3""")
 def jn_event_article(spark, sf_dir):
-    """Events and the articles near them that name their kind, three at most each: a band join by buckets."""
-    word = F.when(F.col("event_type") == "click", "thing").when(F.col("event_type") == "error", "heit")
-    e = table(spark, sf_dir, "events").where("event_type IN ('click', 'error') AND value > 150").select("event_id", (F.col("event_id") % 1000).alias("at"), word.alias("word"))
-    d = docs(spark, sf_dir).where("n_chars < 2000").select("doc_id", F.lower("text").alias("t"), F.expr("doc_id div 20").alias("bucket"))
-    met = e.withColumn("bucket", F.explode(F.array(*[F.expr("at div 20") + k for k in (-1, 0, 1)]))).join(d, "bucket").where((F.abs(F.col("doc_id") - F.col("at")) <= 20) & F.contains("t", F.col("word")))
-    w = Window.partitionBy("event_id").orderBy(F.abs(F.col("doc_id") - F.col("at")), "doc_id")
-    return met.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("event_id", "doc_id")
+    """Articles are dealt over the month by id; every event meets those of its place's language, within six hours, that have its type's word."""
+    n = docs(spark, sf_dir).agg(F.max("doc_id")).first()[0]
+    word = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in TYPE_WORDS.items()])
+    e = table(spark, sf_dir, "events").select("event_id", micros("ts").alias("t"), F.get(F.array(*map(F.lit, LANGS)), (F.col("user_id") % 4).cast("int")).alias("place"), word.alias("word"))
+    has = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(v)), F.lit(v)) for v in TYPE_WORDS.values()]))
+    d = docs(spark, sf_dir).select("doc_id", (F.lit(AS_OF - 30 * DAY) + F.col("doc_id") * (30 * DAY // ((n or 0) + 1))).alias("u"), F.col("lang").alias("place"), has.alias("words"))
+    return event_articles(e, d, 6 * HOUR)

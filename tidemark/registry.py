@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import belief, bulletins, catalogue, composites, learn, monitor, places, reads, reports, series, temporal, textops  # noqa: F401
-from tidemark.plans import spec  # noqa: F401
+from tidemark.plans import categories, spec  # noqa: F401
 from tidemark.plans.register import ORACLE, QUERIES
 from tidemark.sources import files  # noqa: F401
 from tidemark.streaming import events  # noqa: F401

@@ -107,7 +107,7 @@ def st_belief_refresh(spark, sf_dir):
     return refresh(observed(spark, sf_dir))
 
 
-@query("wn_refresh_throttle", None)
+@query("wn_refresh_throttle", f"WITH RECURSIVE {OBS}, o AS (SELECT place_id, obs_id, t, value, row_number() OVER (PARTITION BY place_id ORDER BY t, obs_id) AS rn FROM obs), r AS (SELECT place_id, obs_id, t, value, rn, t AS at_, value AS v, true AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.place_id, o.obs_id, o.t, o.value, o.rn, CASE WHEN o.value <> r.v OR o.t - r.at_ >= 1800000000 THEN o.t ELSE r.at_ END, CASE WHEN o.value <> r.v OR o.t - r.at_ >= 1800000000 THEN o.value ELSE r.v END, o.value <> r.v OR o.t - r.at_ >= 1800000000 FROM r JOIN o ON o.place_id = r.place_id AND o.rn = r.rn + 1) SELECT place_id, obs_id, t, value FROM r WHERE kept")
 def wn_refresh_throttle(spark, sf_dir):
     """Of a place's unchanged readings, one is written every half hour at most, counted from the last one written: a state per place."""
     return throttled(observations(spark, sf_dir).select("place_id", "obs_id", "t", "value"))
