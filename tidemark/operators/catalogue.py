@@ -63,11 +63,6 @@ def jn_semi_anti(spark, sf_dir):
     return count("left_semi", "with").unionByName(count("left_anti", "without"))
 
 
-@query("prj_category_views", f"WITH {SERVING} SELECT id, dataset, value FROM serving WHERE category = '1-URGENT'")
-def prj_category_views(spark, sf_dir):
-    return serving(spark, sf_dir).where("category = '1-URGENT'").select("id", "dataset", "value")
-
-
 @query("prj_licence_tiers", f"WITH {SERVING} SELECT 'open' AS tier, count(*) AS n FROM serving WHERE licence IN ('open', 'attribution') UNION ALL SELECT 'share-alike', count(*) FROM serving WHERE licence IN ('open', 'attribution', 'share-alike') UNION ALL SELECT 'bulk', count(*) FROM serving WHERE licence <> 'no-redistribution'")
 def prj_licence_tiers(spark, sf_dir):
     s = serving(spark, sf_dir)
@@ -87,11 +82,6 @@ def ag_withheld(spark, sf_dir):
     return held.groupBy(F.when(F.col("licence") == "ask", "permission pending").otherwise("not allowed").alias("reason"), "dataset_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("prj_licence_payload", f"WITH {SERVING}, g AS (SELECT category, max(list_position(['open', 'attribution', 'share-alike', 'ask', 'no-redistribution'], licence)) AS k FROM serving GROUP BY 1) SELECT category, list_extract(['open', 'attribution', 'share-alike', 'ask', 'no-redistribution'], k) AS grade FROM g")
-def prj_licence_payload(spark, sf_dir):
-    return serving(spark, sf_dir).groupBy("category").agg(worst(F.col("licence")).alias("grade"))
-
-
 @query("ag_totals_cat", f"WITH {SERVING} SELECT dataset, count(*) AS n, round(min(value), 2) AS low, round(max(value), 2) AS high, count(DISTINCT licence) AS licences FROM serving GROUP BY 1")
 def ag_totals_cat(spark, sf_dir):
     return serving(spark, sf_dir).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 2).alias("low"), F.round(F.max("value"), 2).alias("high"), F.count_distinct("licence").alias("licences"))
@@ -115,34 +105,12 @@ def ag_event_register(spark, sf_dir):
     return g.withColumn("total", F.when(F.col("category") != "5-LOW", F.col("total")))
 
 
-@query("prj_memorial_gate", "SELECT c_mktsegment AS segment, CASE WHEN c_acctbal < 0 THEN 'below' WHEN c_acctbal < 5000 THEN 'middle' ELSE 'above' END AS band, count(*) AS n FROM customer GROUP BY ALL")
-def prj_memorial_gate(spark, sf_dir):
-    """Per-person rows only as bands."""
-    band = F.when(F.col("c_acctbal") < 0, "below").when(F.col("c_acctbal") < 5000, "middle").otherwise("above")
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("prj_event_as_observation", "SELECT -event_id AS id, 'event.' || event_type AS indicator, CASE WHEN event_type IN ('purchase', 'error') THEN value END AS value, CASE WHEN hour(ts) = 0 THEN 'unknown' ELSE 'exact' END AS precision FROM events")
-def prj_event_as_observation(spark, sf_dir):
-    hour = F.hour(F.expr("cast(ts AS timestamp_ntz)"))
-    return table(spark, sf_dir, "events").select((-F.col("event_id")).alias("id"), F.concat(F.lit("event."), "event_type").alias("indicator"), F.when(F.col("event_type").isin("purchase", "error"), F.col("value")).alias("value"), F.when(hour == 0, "unknown").otherwise("exact").alias("precision"))
-
-
 @query("rs_route", "SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'fast' WHEN '2-HIGH' THEN 'fast' WHEN '5-LOW' THEN 'slow' ELSE 'default' END AS dataset, count(*) AS n FROM orders GROUP BY 1")
 def rs_route(spark, sf_dir):
     routes = F.create_map(*[F.lit(x) for x in ("1-URGENT", "fast", "2-HIGH", "fast", "5-LOW", "slow")])
     return table(spark, sf_dir, "orders").groupBy(F.coalesce(routes[F.col("o_orderpriority")], F.lit("default")).alias("dataset")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jn_prefix_hierarchy", "SELECT r_name AS region, n_name AS nation, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
-def jn_prefix_hierarchy(spark, sf_dir):
-    """Counts below each place; each child table is summed before it is joined."""
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count_distinct("c_custkey").alias("customers"))
-    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count_distinct("s_suppkey").alias("suppliers"))
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("k", F.col("n_nationkey"))
-    return n.join(c, "k", "left").join(s, "k", "left").select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
-
-
 @query("jn_closure_compose", "WITH e AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation) SELECT child, parent, 1 AS depth FROM e UNION ALL SELECT a.child, b.parent, 2 FROM e a JOIN e b ON a.parent = b.child")
 def jn_closure_compose(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))

@@ -74,11 +74,6 @@ def jn_lateral_latest_attrs(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("place_id")).agg(F.max_by("props", "ts").alias("attrs"), F.max(micros("ts")).alias("t"))
 
 
-@query("ag_usage", "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, count(*) FILTER (WHERE text LIKE '%?%') AS questions FROM conversations GROUP BY 1")
-def ag_usage(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.count_if(F.col("text").contains("?")).alias("questions"))
-
-
 @query("ag_analyst_health", f"WITH {OBS} SELECT source_id, count(*) AS n, round(count(*) FILTER (WHERE value = 'other') / nullif(count(*), 0), 6) AS empty_rate, round(quantile_cont(num, 0.5), 6) AS p50, round(quantile_cont(num, 0.95), 6) AS p95 FROM obs WHERE t > {AS_OF} - {5 * DAY} GROUP BY 1")
 def ag_analyst_health(spark, sf_dir):
     o = observations(spark, sf_dir).where(F.col("t") > AS_OF - 5 * DAY)
@@ -113,13 +108,6 @@ def rt_related_incidents(spark, sf_dir):
     return near.withColumn("rn", F.row_number().over(w)).where("rn <= 4").select(F.col("a_id").alias("id"), F.col("b_id").alias("obs_id"))
 
 
-@query("rt_place_profile", f"WITH {OBS} SELECT place_id, 'live' AS section, count(*) FILTER (WHERE t > {AS_OF} - {3 * DAY}) AS n FROM obs GROUP BY 1 UNION ALL SELECT place_id, 'history', count(DISTINCT t // {DAY}) FROM obs GROUP BY 1 UNION ALL SELECT place_id, 'incidents', count(*) FILTER (WHERE value = 'closed') FROM obs GROUP BY 1")
-def rt_place_profile(spark, sf_dir):
-    """All sections of a place's profile in one pass."""
-    o = observations(spark, sf_dir).groupBy("place_id").agg(F.count_if(F.col("t") > AS_OF - 3 * DAY).alias("live"), F.count_distinct(F.expr(f"t div {DAY}")).alias("history"), F.count_if(F.col("value") == "closed").alias("incidents"))
-    return o.unpivot(["place_id"], ["live", "history", "incidents"], "section", "n")
-
-
 @query("rt_crossings", f"WITH {OBS}, own AS (SELECT place_id, max_by(value, t) AS value FROM obs WHERE direction = 'both' AND t > {AS_OF} - {2 * DAY} GROUP BY 1), fb AS (SELECT place_id, max_by(value, t) AS value FROM obs WHERE direction <> 'both' GROUP BY 1), p AS (SELECT DISTINCT place_id FROM obs) SELECT place_id, coalesce(own.value, fb.value) AS value, CASE WHEN own.value IS NOT NULL THEN 'crossing' WHEN fb.value IS NOT NULL THEN 'flow' ELSE 'none' END AS basis FROM p LEFT JOIN own USING (place_id) LEFT JOIN fb USING (place_id)")
 def rt_crossings(spark, sf_dir):
     """A crossing's own state, else its flow's; one pass."""
@@ -158,10 +146,3 @@ def restore_check(tables: dict[str, DataFrame], path: str) -> DataFrame:
 
     back = counts(lambda n: tables[n].sparkSession.read.schema(tables[n].schema).parquet(f"{path}/{n}"))
     return backup_manifest(back, counts(tables.get), 0.0)
-
-
-@query("set_operations", "SELECT count(*) FILTER (WHERE a AND b) AS both_, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE b AND NOT a) AS only_b FROM (SELECT k, bool_or(w = 1) AS a, bool_or(w = 2) AS b FROM (SELECT o_custkey AS k, 1 AS w FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 2 FROM orders WHERE o_orderstatus = 'O') GROUP BY 1)")
-def set_operations(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    keys = o.groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "F").alias("a"), F.bool_or(F.col("o_orderstatus") == "O").alias("b"))
-    return keys.agg(F.count_if(F.col("a") & F.col("b")).alias("both_"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(F.col("b") & ~F.col("a")).alias("only_b"))

@@ -216,14 +216,6 @@ def wn_last_other_unit(spark, sf_dir):
     return last_other_unit(assertions(spark, sf_dir), sources(spark)).where("pt IS NOT NULL").select("obs_id", "pt", "pv", "pu")
 
 
-@query("ag_backtest", f"WITH {OTHER}, s AS (SELECT *, 0.85 * pow(0.5, (t - pt) / 345600e6) AS conf FROM prev) SELECT pv AS value, count(*) AS n, count(*) FILTER (WHERE conf >= 0.25) AS asserted, count(*) FILTER (WHERE conf >= 0.25 AND pv = value) AS right, round(avg(abs(conf - CASE WHEN pv = value THEN 1 ELSE 0 END)), 6) AS error FROM s GROUP BY 1")
-def ag_backtest(spark, sf_dir):
-    p = last_other_unit(assertions(spark, sf_dir), sources(spark)).where("pt IS NOT NULL")
-    p = p.withColumn("conf", 0.85 * F.pow(F.lit(0.5), (F.col("t") - F.col("pt")) / 345600e6)).withColumn("hit", F.col("pv") == F.col("value"))
-    said = F.col("conf") >= 0.25
-    return p.groupBy(F.col("pv").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.count_if(said).alias("asserted"), F.count_if(said & F.col("hit")).alias("right"), F.round(F.avg(F.abs(F.col("conf") - F.col("hit").cast("int"))), 6).alias("error"))
-
-
 @query("ag_confusion_earnout", f"WITH {OTHER} SELECT pv AS said, value AS seen, count(*) AS n FROM prev WHERE t - pt <= {24 * HOUR} GROUP BY ALL")
 def ag_confusion_earnout(spark, sf_dir):
     p = last_other_unit(assertions(spark, sf_dir), sources(spark)).where(F.col("t") - F.col("pt") <= 24 * HOUR)

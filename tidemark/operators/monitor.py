@@ -133,13 +133,6 @@ def wn_lag_gaps(spark, sf_dir):
     return observations(spark, sf_dir).withColumn("gap", F.col("t") - F.lag("t").over(w)).groupBy("place_id").agg(F.max("gap").alias("longest"), F.round(F.median("gap"), 1).alias("middle"))
 
 
-@query("ag_insights_ckpt", f"WITH {OBS}, v AS (SELECT place_id, value, count(*) AS n FROM obs WHERE modality = 'assertion' GROUP BY ALL) SELECT place_id, sum(n)::BIGINT AS reports, string_agg(value || '=' || n, ',' ORDER BY value) AS histogram FROM v GROUP BY 1")
-def ag_insights_ckpt(spark, sf_dir):
-    v = observations(spark, sf_dir).where("modality = 'assertion'").groupBy("place_id", "value").agg(F.count(F.lit(1)).alias("n"))
-    entry = F.concat_ws("=", "value", F.col("n").cast("string"))
-    return v.groupBy("place_id").agg(F.sum("n").alias("reports"), F.array_join(F.sort_array(F.collect_list(entry)), ",").alias("histogram"))
-
-
 @query("ag_insights_inc", f"WITH {OBS} SELECT place_id, count(*) AS events, count(DISTINCT source_id) FILTER (WHERE value = 'closed') AS corroborated, max(t) AS newest, max_by(value, t) AS last FROM obs GROUP BY 1")
 def ag_insights_inc(spark, sf_dir):
     return observations(spark, sf_dir).groupBy("place_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct(F.when(F.col("value") == "closed", F.col("source_id"))).alias("corroborated"), F.max("t").alias("newest"), F.max_by("value", "t").alias("last"))
@@ -150,11 +143,6 @@ def ag_source_rollup(spark, sf_dir):
     return observations(spark, sf_dir).groupBy("source_id").agg(F.count(F.lit(1)).alias("claims"), F.max("t").alias("newest")).where("claims > 0")
 
 
-@query("ag_incident_summary", f"WITH {OBS} SELECT value, count(*) AS n, count(*) FILTER (WHERE modality = 'assertion') AS asserted, count(DISTINCT place_id) AS places FROM obs GROUP BY 1")
-def ag_incident_summary(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("modality") == "assertion").alias("asserted"), F.count_distinct("place_id").alias("places"))
-
-
 @query("st_backlog", f"WITH {OBS} SELECT source_id, count(*) AS pending, {AS_OF} - min(t) AS lag FROM obs WHERE t > {AS_OF} - {2 * DAY} - source_id * {HOUR} GROUP BY 1")
 def st_backlog(spark, sf_dir):
     o = observations(spark, sf_dir).where(F.col("t") > F.lit(AS_OF - 2 * DAY) - F.col("source_id") * HOUR)

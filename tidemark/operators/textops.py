@@ -103,26 +103,6 @@ def src_html_article(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count(h, F.lit("<p>")).cast("long").alias("paragraphs"), F.regexp_extract(h, '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
-VOTES = "v AS (SELECT DISTINCT p_brand AS product, p_size AS unit, first_value(p_retailprice) OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey DESC) AS price FROM part)"
-
-
-@query("ag_price_votes", f"WITH {VOTES} SELECT product, round(price / 100) * 100 AS band, count(*) AS units, string_agg(CAST(unit AS VARCHAR), ',' ORDER BY unit) AS who FROM v GROUP BY ALL")
-def ag_price_votes(spark, sf_dir):
-    """One vote a unit and product, its newest; units behind each price band."""
-    v = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("product"), F.col("p_size").alias("unit")).agg(F.max_by("p_retailprice", "p_partkey").alias("price"))
-    got = v.groupBy("product", (F.round(F.col("price") / 100) * 100).alias("band")).agg(F.count(F.lit(1)).alias("units"), F.array_sort(F.collect_list("unit")).alias("who"))
-    return got.withColumn("who", F.array_join(F.transform("who", lambda x: x.cast("string")), ","))
-
-
-@query("ag_price_believed", f"WITH {VOTES}, b AS (SELECT product, round(price / 100) * 100 AS band, count(*) AS units FROM v GROUP BY ALL), r AS (SELECT *, count(*) FILTER (WHERE units >= 2) OVER (PARTITION BY product) AS rivals, max(units) OVER (PARTITION BY product) AS top FROM b) SELECT product, max(band) FILTER (WHERE units = top AND units >= 2) AS band, CASE WHEN max(rivals) > 1 THEN 'conflicting' WHEN max(rivals) = 1 THEN 'confirmed' ELSE 'unconfirmed' END AS status FROM r GROUP BY 1")
-def ag_price_believed(spark, sf_dir):
-    """Believed is a price that two units give and no rival has two; else the state says why not."""
-    b = ag_price_votes(spark, sf_dir)
-    g = b.groupBy("product").agg(F.count_if(F.col("units") >= 2).alias("rivals"), F.max(F.struct("units", "band")).alias("top"))
-    status = F.when(F.col("rivals") > 1, "conflicting").when(F.col("rivals") == 1, "confirmed").otherwise("unconfirmed")
-    return g.select("product", F.when(F.col("top.units") >= 2, F.col("top.band")).alias("band"), status.alias("status"))
-
-
 @query("gl_gold_score", "WITH d AS (SELECT quality, CASE WHEN regexp_matches(text, '[#$%&*]{3}') OR n_chars < 300 THEN 0 ELSE 1 END AS said FROM documents JOIN labels USING (doc_id)) SELECT count(*) FILTER (WHERE said = 1 AND quality = 1) AS tp, count(*) FILTER (WHERE said = 1 AND quality = 0) AS fp, count(*) FILTER (WHERE said = 0 AND quality = 1) AS fn, round(count(*) FILTER (WHERE said = 1 AND quality = 1) / count(*) FILTER (WHERE said = 1), 6) AS precision, round(count(*) FILTER (WHERE said = 1 AND quality = 1) / count(*) FILTER (WHERE quality = 1), 6) AS recall FROM d")
 def gl_gold_score(spark, sf_dir):
     said = F.when(F.col("text").rlike(r"[#$%&*]{3}") | (F.col("n_chars") < 300), 0).otherwise(1)

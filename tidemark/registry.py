@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import belief, bulletins, catalogue, composites, learn, monitor, places, reads, reports, series, temporal, textops, voices  # noqa: F401
+from tidemark.operators import belief, bulletins, catalogue, composites, learn, monitor, places, reads, reports, series, summaries, temporal, textops, voices  # noqa: F401
 from tidemark.plans import categories, spec  # noqa: F401
 from tidemark.plans.register import ORACLE, QUERIES
 from tidemark.sources import feeds, files  # noqa: F401
