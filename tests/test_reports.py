@@ -90,3 +90,20 @@ def test_whole_tables(spark):
         before[c, t] = max(((x, y) for x, y in turns if x == c and y < t), default=None)
     for r in QUERIES["fn_seqmatch"](spark, d).collect():
         assert r.ratio == pytest.approx(SequenceMatcher(None, turns[before[r.conv_id, r.turn]][:300], turns[r.conv_id, r.turn][:300]).ratio(), abs=1e-6)
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    from tidemark.sources.analogues import HOUR
+    from tidemark.streaming import events
+
+    schema = "place_id long, direction string, value string, t long, obs_id long"
+    source, out = str(tmp_path / "in"), {k: str(tmp_path / k) for k in ("changes", "belief")}
+    runs = [[(1, "both", "open", 0, 1), (2, "both", "closed", 0, 2)], [(1, "both", "open", HOUR, 3), (2, "both", "open", 2 * HOUR, 4), (1, "both", "closed", 0, 0)], [(1, "both", "slow", 9 * HOUR, 5)]]
+    for rows in runs:  # the last row of the second run is late
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        feed = lambda: spark.readStream.schema(schema).parquet(source)
+        changed = events.changes(feed(), out["changes"], expire=4 * HOUR)
+        now = events.refresh(feed(), out["belief"])
+    got = sorted((r.place_id, r.t // HOUR, r.value) for r in changed.collect())
+    assert got == [(1, 0, "open"), (1, 5, "unknown"), (1, 9, "slow"), (2, 0, "closed"), (2, 2, "open"), (2, 6, "unknown")]
+    assert {(r.place_id, r.value, r.t // HOUR) for r in now.collect()} == {(1, "slow", 9), (2, "open", 2)}

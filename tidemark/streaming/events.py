@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.register import query
 from tidemark.plans.steps import new_path
-from tidemark.sources.analogues import OBS, micros, observations, table
+from tidemark.sources.analogues import DAY, OBS, micros, observations, table
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -36,45 +36,60 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "12 hours",
     return s.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def changes(events: DataFrame, tag: str = "changes") -> DataFrame:
-    """(place_id, t, value) where a place's value differs from its last one; the last values are a table that each batch
-    rewrites and the only state. A batch's rows meet them in a window that spills, so a place's rows are nowhere in memory together."""
+def changes(events: DataFrame, path: str | None = None, expire: int | None = None) -> DataFrame:
+    """(place_id, t, value) where a place's value differs from its last one, and, with expire, where it decays to unknown that long after its last report.
+
+    The last report of every place is a table that each batch writes anew beside the one before it,
+    which is all the state there is: a run that starts again from its checkpoint goes on with it, and
+    a batch that is run twice reads and writes the same. A batch's rows meet the state in a window
+    that spills, so a place's rows are nowhere in memory together. Rows older than the state are late
+    and no change. The first batch has no state: each place's first value is a change.
+    """
     spark = events.sparkSession
-    path = new_path(spark, tag)
-    last: list[str] = []
-    schema = "place_id long, t long, value string"
+    path = path or new_path(spark, "changes")
 
     def step(batch: DataFrame, number: int) -> None:
         rows = batch.select("place_id", "t", "obs_id", "value", F.lit(1).alias("new"))
-        if last:
-            rows = rows.unionByName(spark.read.parquet(last[-1]).select("place_id", "t", "obs_id", "value", F.lit(0).alias("new")))
-        w = Window.partitionBy("place_id").orderBy("new", "t", "obs_id")
-        out = rows.withColumn("p", F.lag("value").over(w)).where(F.col("new").eqNullSafe(1) & ~F.col("value").eqNullSafe(F.col("p")))
-        out.select("place_id", "t", "value").write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        if number:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/last/{number - 1}").select("place_id", "t", "obs_id", "value", F.lit(0).alias("new")))
+        whole, w = Window.partitionBy("place_id"), Window.partitionBy("place_id").orderBy("new", "t", "obs_id")
+        held = F.max(F.when(F.col("new") == 0, F.struct("t", "obs_id"))).over(whole)
+        rows = rows.withColumn("held", held).where("new = 0 OR held IS NULL OR struct(t, obs_id) > held")
+        rows = rows.withColumns({"p": F.lag("value").over(w), "pt": F.lag("t").over(w), "next": F.lead("t").over(w)})
+        decayed = F.lit(False) if expire is None else F.col("t") - F.col("pt") > expire
+        out = rows.where((F.col("new") == 1) & (F.coalesce(decayed, F.lit(False)) | ~F.col("value").eqNullSafe(F.col("p")))).select("place_id", "t", "value")
         state = rows.groupBy("place_id").agg(F.max_by(F.struct("t", "obs_id", "value"), F.struct("new", "t", "obs_id")).alias("x")).select("place_id", "x.*")
+        if expire is not None:
+            now = batch.agg(F.max("t")).first()[0]  # one number
+            gone = F.coalesce("next", F.lit(now)) - F.col("t") > expire
+            out = out.unionByName(rows.where(gone & (F.col("value") != "unknown")).select("place_id", (F.col("t") + expire).alias("t"), F.lit("unknown").alias("value")))
+            state = state.withColumn("value", F.when(F.lit(now) - F.col("t") > expire, "unknown").otherwise(F.col("value")))
+        out.write.mode("overwrite").parquet(f"{path}/rows/{number}")
         state.write.mode("overwrite").parquet(f"{path}/last/{number}")
-        last.append(f"{path}/last/{number}")
 
-    events.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(*[x.replace("/last/", "/rows/") for x in last]) if last else spark.createDataFrame([], schema)
+    events.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("place_id long, t long, value string").parquet(f"{path}/rows/*")
 
 
-def refresh(events: DataFrame, tag: str = "belief") -> DataFrame:
-    """The newest reading of every key, kept as a table that each batch rewrites; a reading only replaces an older one. One writer."""
+def refresh(events: DataFrame, path: str | None = None) -> DataFrame:
+    """The newest reading of every key; a reading only replaces an older one. Every batch reads the table of the batch before it and writes its
+    own, so a run that starts again from its checkpoint loses nothing. One writer."""
     spark = events.sparkSession
-    path = new_path(spark, tag)
-    current: list[str] = []
+    path = path or new_path(spark, "belief")
+    schema = "place_id long, direction string, value string, t long, obs_id long"
 
     def upsert(batch: DataFrame, number: int) -> None:
         rows = batch.select("place_id", "direction", "value", "t", "obs_id")
-        if current:
-            rows = rows.unionByName(spark.read.parquet(current[-1]))
+        if number:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{path}/table/{number - 1}"))
         best = rows.groupBy("place_id", "direction").agg(F.max_by(F.struct("value", "t", "obs_id"), F.struct("t", "obs_id")).alias("x")).select("place_id", "direction", "x.*")
-        best.write.mode("overwrite").parquet(f"{path}/{number}")
-        current.append(f"{path}/{number}")
+        best.write.mode("overwrite").parquet(f"{path}/table/{number}")
 
-    events.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(current[-1])
+    q = events.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    tables = spark.read.schema(schema + ", number int").option("basePath", f"{path}/table").parquet(f"{path}/table/*").withColumn("number", F.regexp_extract(F.input_file_name(), "/table/([0-9]+)/", 1).cast("int"))
+    newest = q.lastProgress["batchId"] if q.lastProgress else tables.agg(F.max("number")).first()[0]
+    return spark.read.schema(schema).parquet(f"{path}/table/{newest}")
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +112,13 @@ def st_sessions_incremental(spark, sf_dir):
     return appended(sessions(s, "user_id"), "sessions").select("user_id", F.unix_micros("start").alias("first"), "n")
 
 
-@query("st_change_stream", f"WITH {OBS}, l AS (SELECT place_id, t, value, lag(value) OVER (PARTITION BY place_id ORDER BY t, obs_id) AS p FROM obs) SELECT place_id, t, value FROM l WHERE value IS DISTINCT FROM p")
+EXPIRE = 2 * DAY
+
+
+@query("st_change_stream", f"WITH {OBS}, l AS (SELECT place_id, t, value, lag(value) OVER w AS p, lag(t) OVER w AS pt, lead(t) OVER w AS nt FROM obs WINDOW w AS (PARTITION BY place_id ORDER BY t, obs_id)) SELECT place_id, t, value FROM l WHERE value IS DISTINCT FROM p OR t - pt > {EXPIRE} UNION ALL SELECT place_id, t + {EXPIRE}, 'unknown' FROM l WHERE coalesce(nt, (SELECT max(t) FROM obs)) - t > {EXPIRE}")
 def st_change_stream(spark, sf_dir):
-    return changes(observed(spark, sf_dir))
+    """Changes of every place's value, and its decay to unknown two days after its last report."""
+    return changes(observed(spark, sf_dir), expire=EXPIRE)
 
 
 @query("st_belief_refresh", f"WITH {OBS} SELECT place_id, direction, value, t, obs_id FROM obs QUALIFY row_number() OVER (PARTITION BY place_id, direction ORDER BY t DESC, obs_id DESC) = 1")
