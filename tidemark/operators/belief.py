@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import decay as D
@@ -85,16 +85,21 @@ def serve(current: DataFrame, k: Kind = FLOW, as_of: int = AS_OF) -> DataFrame:
 
 
 def by_direction(served: DataFrame) -> DataFrame:
-    """A row for inbound and outbound each (the newest that speaks of it, a specific one first), and the worse of the two as both; a lone open direction is not open both ways."""
-    ways = F.when(F.col("direction") == "both", F.array(F.lit("inbound"), F.lit("outbound"))).otherwise(F.array("direction"))
-    each = served.withColumn("way", F.explode(ways))
-    rest = ["value", "last_known", "t", "confidence", "direction"]
-    flow = each.groupBy("place_id", "way").agg(F.max_by(F.struct(*rest), F.struct("t", (F.col("direction") == F.col("way")))).alias("x")).select("place_id", "way", *[F.col(f"x.{c}").alias(c) for c in rest])
-    per = Window.partitionBy("place_id")
-    both = flow.withColumn("n", F.count(F.lit(1)).over(per)).withColumn("rn", F.row_number().over(per.orderBy(D.severity(F.col("value")).desc(), F.col("t").desc(), F.col("way")))).where("rn = 1")
-    both = both.select("place_id", F.lit("both").alias("way"), F.when((F.col("n") < 2) & (F.col("value") == "open"), "unknown").otherwise(F.col("value")).alias("value"), "last_known", "t", "confidence", "direction")
-    differs = flow.groupBy("place_id").agg((F.count_distinct("value") > 1).alias("differs"))
-    out = flow.unionByName(both).join(differs, "place_id")
+    """A row for inbound and outbound each (the newest that speaks of it, a specific one first), and the worse of the two as both; a lone open direction is not open both ways. One aggregate a place."""
+    row = F.struct("value", "last_known", "t", "confidence", "direction")
+
+    def newest(way: str) -> Column:
+        speaks = F.col("direction").isin(way, "both")
+        return F.max_by(F.when(speaks, row), F.when(speaks, F.struct("t", (F.col("direction") == way))))
+
+    g = served.groupBy("place_id").agg(newest("inbound").alias("i"), newest("outbound").alias("o"))
+    i, o = F.col("i"), F.col("o")
+    bad = lambda x: F.struct(D.severity(x["value"]).alias("s"), x["t"].alias("t"))
+    worse = F.when(i.isNull() | (o.isNotNull() & (bad(o) > bad(i))), o).otherwise(i)
+    lone = i.isNull() | o.isNull()
+    named = lambda way, x, value: F.when(x.isNotNull(), F.struct(F.lit(way).alias("way"), value.alias("value"), *[x[c].alias(c) for c in ("last_known", "t", "confidence", "direction")]))
+    three = F.array(named("inbound", i, i["value"]), named("outbound", o, o["value"]), named("both", worse, F.when(lone & (worse["value"] == "open"), "unknown").otherwise(worse["value"])))
+    out = g.select("place_id", F.explode(F.array_compact(three)).alias("x"), (~lone & (i["value"] != o["value"])).alias("differs")).select("place_id", "x.*", "differs")
     return out.withColumn("passable", D.passable(F.col("value"))).withColumnRenamed("direction", "reported_for")
 
 
