@@ -250,19 +250,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """members (k, ti, tj, b, c, comp, n, sketch), a tile together: pairs in different components that sizes and sketches allow."""
+    """members (k, own, ti, tj, b, other, c, comp, n, sketch), a tile together: pairs in different components that sizes and sketches allow.
+
+    A tile has members outside their key's main component, either among themselves (own) or against a block of the main one.
+    """
     import pandas as pd
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out_u, out_v = [], []
         bits = np.frombuffer(b"".join(fold(np.frombuffer(x, np.uint8), size).tobytes() for size in [min(map(len, pdf["sketch"]))] for x in pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        n, comp, c, b = (pdf[x].to_numpy() for x in ("n", "comp", "c", "b"))
-        single = pdf["ti"].iloc[0] == pdf["tj"].iloc[0]
-        left = np.arange(len(pdf)) if single else np.flatnonzero(b == pdf["ti"].iloc[0])
-        right = left if single else np.flatnonzero(b == pdf["tj"].iloc[0])
+        n, comp, c, b, other = (pdf[x].to_numpy() for x in ("n", "comp", "c", "b", "other"))
+        own, ti, tj = (pdf[x].iloc[0] for x in ("own", "ti", "tj"))
+        left = np.flatnonzero(b == ti) if own else np.flatnonzero(other)
+        right = np.flatnonzero(b == tj) if own else np.flatnonzero(~other)
         for i in left:
             r = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)]
-            if single:
+            if own and ti == tj:
                 r = r[c[r] > c[i]]
             if len(r):
                 apart = np.bitwise_count(bits[r] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -272,7 +275,18 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
         u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_u, out_v))
         return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    return members.groupBy("k", "ti", "tj").applyInPandas(compare, "u long, v long")
+    return members.groupBy("k", "own", "ti", "tj").applyInPandas(compare, "u long, v long")
+
+
+def _dealt(open_: DataFrame, tile: int) -> DataFrame:
+    """open_ (k, c, comp, main, f, m): each member with the tiles it belongs to; f members are outside the main component, m in it."""
+    blocks = lambda n: F.ceil(F.col(n) / tile).cast("int")
+    d = open_.withColumn("other", F.col("comp") != F.col("main")).withColumn("b", F.pmod(F.xxhash64("c", "k"), F.when(F.col("other"), blocks("f")).otherwise(blocks("m"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    at = lambda own, i, j: F.struct(F.lit(own).alias("own"), i.alias("ti"), j.alias("tj"))
+    among = F.transform(upto("f"), lambda o: at(True, F.least("b", o), F.greatest("b", o)))
+    across = F.when(F.col("other"), F.transform(upto("m"), lambda o: at(False, F.col("b"), o))).otherwise(F.transform(upto("f"), lambda o: at(False, o, F.col("b"))))
+    return d.select("k", "c", "comp", "other", "b", F.explode(F.when(F.col("other"), F.concat(among, across)).otherwise(across)).alias("x")).select("k", "x.*", "b", "other", "c", "comp")
 
 
 def _joined(rows: DataFrame, percent: int, n: int, tile: int, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -299,15 +313,15 @@ def _joined(rows: DataFrame, percent: int, n: int, tile: int, rounds: int) -> tu
         links = found if links is None else written(links.unionByName(found), "links")
         comps = _placed(members, links)
 
-    placed = members.join(comps, "c")
-    sizes = placed.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi AND g > 2").select("k", "g", F.ceil(F.col("g") / tile).cast("int").alias("nb"))
-    # two members met as member and hub; few are paired by a join; many in tiles
-    placed = written(placed.join(sizes, "k"), "open")
-    few = placed.where(F.col("g") <= FEW).select("k", "c", "comp")
+    placed = written(members.join(comps, "c"), "placed")
+    per = placed.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.sum("m").alias("g"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+    sizes = per.where("comps > 1 AND g > 2").select("k", "g", F.col("g").alias("size"), F.col("top.comp").alias("main"), F.col("top.m").alias("m"), (F.col("g") - F.col("top.m")).alias("f"))
+    # two members met as member and hub; few are paired by a join; many in tiles, the main component never with itself
+    open_ = written(meet(placed, written(sizes, "sizes"), ["k"], "g", ["c"]), "open")
+    few = open_.where(F.col("size") <= FEW).select("k", "c", "comp")
     pairs = few.join(few.select("k", F.col("c").alias("v"), F.col("comp").alias("vcomp")), "k").where("c < v AND comp != vcomp").select(F.col("c").alias("u"), "v").distinct()
     found = _join_links(pairs, info, sets, percent)
-    dealt = placed.where(F.col("g") > FEW).join(info, "c").withColumn("b", F.pmod(F.xxhash64("c", "k"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("k", F.least("b", "o").alias("ti"), F.greatest("b", "o").alias("tj"), "b", "c", "comp", "n", "sketch")
+    dealt = _dealt(open_.where(F.col("size") > FEW), tile).join(info, "c")
     found = found.unionByName(_verified(written(_tiles(dealt, percent).distinct(), "near"), sets, percent))
     links = written(links.unionByName(found), "links")
 
