@@ -153,3 +153,21 @@ def test_pipeline_odd_and_empty(spark):
         out = got.collect()
         assert {"doc_id", "source", "ids", "n_tokens", "round_trip"} <= set(got.columns)
         assert bool(out) == bool(given) and all(r.round_trip for r in out) and all(r.doc_id >= 100 for r in out)
+
+
+def test_tiles_across_components(spark, monkeypatch):
+    """One key with a large component, smaller ones and strangers: every link between different components is found, with tiles of three."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for group, size in ((0, 14), (1, 5), (2, 1), (3, 1)):  # groups share half of their words, so that some keys hold all of them
+        own = base[:24] + [f"g{group}_{k}" for k in range(16)]
+        for _ in range(size):
+            w = list(own)
+            w[int(rng.integers(24, 40))] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(w), "s"))
+    df = spark.createDataFrame(rows, DOCS)
+    for percent in (80, 90):
+        got = jaccard.jaccard_components(df, percent=percent, n=1, tile=3, rounds=1).select("doc_id", "n_shingles", "component_id")
+        assert sorted(map(tuple, got.collect())) == sorted(linked(rows, 1, percent))
