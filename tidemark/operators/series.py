@@ -123,7 +123,7 @@ KINDS = "kinds(indicator, kind) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k
 
 @query("sr_scan", f"""WITH {SERIES}, {KINDS}, a AS (SELECT place_id, mon, value AS x FROM series WHERE indicator = '5-LOW'), c AS (SELECT s.* FROM series s JOIN kinds USING (indicator) WHERE kind IN ('flow', 'stock') AND indicator <> '5-LOW'),
 p AS (SELECT c.indicator, c.place_id, x, c.value AS y FROM c JOIN a USING (place_id, mon)), rk AS (SELECT *, rank() OVER (PARTITION BY indicator, place_id ORDER BY x) + (count(*) OVER (PARTITION BY indicator, place_id, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY indicator, place_id ORDER BY y) + (count(*) OVER (PARTITION BY indicator, place_id, y) - 1) / 2 AS ry FROM p),
-t AS (SELECT indicator, place_id, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM rk GROUP BY ALL HAVING count(*) >= 12) SELECT *, round(CAST(0.05 AS DOUBLE) * count(*) OVER (), 4) AS expected_false FROM t ORDER BY abs(rho) DESC, indicator, place_id LIMIT 15""")
+t AS (SELECT indicator, place_id, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM rk GROUP BY ALL HAVING count(*) >= 12), h AS (SELECT count(*) AS considered FROM (SELECT DISTINCT indicator, place_id FROM c)) SELECT t.*, round(CAST(0.05 AS DOUBLE) * count(*) OVER (), 4) AS expected_false, count(*) OVER () AS tested, considered - count(*) OVER () AS skipped FROM t, h ORDER BY abs(rho) DESC, indicator, place_id LIMIT 15""")
 def sr_scan(spark, sf_dir):
     """All eligible candidates against one series in one job; the 15 of greatest correlation, with how many would be found by chance."""
     s = series(spark, sf_dir)
@@ -131,7 +131,8 @@ def sr_scan(spark, sf_dir):
     a = s.where("indicator = '5-LOW'").select("place_id", "mon", F.col("value").alias("x"))
     pairs = s.where(F.col("indicator").isin(eligible)).withColumnRenamed("value", "y").join(a, ["place_id", "mon"])
     t = correlated(pairs, IP).where("n >= 12").select(*IP, "n", F.round("rho", 6).alias("rho"))
-    tested = t.agg(F.round(0.05 * F.count(F.lit(1)), 4).alias("expected_false"))
+    considered = s.where(F.col("indicator").isin(eligible)).select(*IP).distinct().agg(F.count(F.lit(1)).alias("considered"))
+    tested = t.agg(F.round(0.05 * F.count(F.lit(1)), 4).alias("expected_false"), F.count(F.lit(1)).alias("tested")).crossJoin(considered).select("expected_false", "tested", (F.col("considered") - F.col("tested")).alias("skipped"))
     return t.crossJoin(F.broadcast(tested)).orderBy(F.abs("rho").desc(), "indicator", "place_id").limit(15)  # tested is one row
 
 

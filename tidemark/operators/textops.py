@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.plans.register import query
+from tidemark.plans.steps import new_path
 from tidemark.sources.analogues import AS_OF, DAY, HOUR, micros, table
 
 #: An ordered cascade: the first rule that fits a text decides.
@@ -116,10 +117,31 @@ def fn_stable_event_key(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.substring(F.sha1(F.concat_ws("|", F.lit("v1"), "lang", "source", "doc_id")), 1, 20).alias("key"))
 
 
-@query("src_bronze", "SELECT sha256(text) AS sha256, count(*) AS puts, min(doc_id) AS first FROM documents GROUP BY 1")
+def put(path: str, rows: DataFrame) -> None:
+    """Puts payloads (source, payload) into a content-addressed archive; what it already holds is left as it is, so putting twice is putting once."""
+    spark = rows.sparkSession
+    new = rows.withColumn("sha256", F.sha2("payload", 256)).groupBy("sha256").agg(F.min("source").alias("source"), F.first("payload").alias("payload"))
+    held = spark.read.schema("sha256 string, source string, payload string").option("recursiveFileLookup", True).parquet(path)
+    new.join(held.select("sha256"), "sha256", "left_anti").write.mode("append").parquet(path)
+
+
+def get(path: str, refs: DataFrame) -> DataFrame:
+    """refs (sha256) with the archive's payloads; a payload that is not what its name says is null."""
+    held = refs.sparkSession.read.parquet(path)
+    return refs.join(held, "sha256", "left").withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")))
+
+
+@query("src_bronze", "SELECT sha256(text) AS sha256, min(source) AS source, length(any_value(text)) AS n FROM documents GROUP BY 1")
 def src_bronze(spark, sf_dir):
-    """A content-addressed archive: one entry a payload, whoever puts it."""
-    return docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count(F.lit(1)).alias("puts"), F.min("doc_id").alias("first"))
+    """Every text put twice, the second time together with all others, and got again by its digest."""
+    d, path = docs(spark, sf_dir).where("text IS NOT NULL").select("source", F.col("text").alias("payload")), new_path(spark, "bronze")
+    spark.createDataFrame([], "sha256 string, source string, payload string").write.parquet(path)
+    put(path, d.where(F.col("source") == F.lit("src0")))
+    put(path, d)
+    refs = d.select(F.sha2("payload", 256).alias("sha256")).distinct()
+    got = get(path, refs)
+    least = d.groupBy(F.sha2("payload", 256).alias("sha256")).agg(F.min("source").alias("source"))  # the archive keeps who put it first
+    return got.drop("source").join(least, "sha256").select("sha256", "source", F.length("payload").alias("n"))
 
 
 @query("fn_slug", "SELECT p_partkey AS id, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")
