@@ -317,7 +317,7 @@ def _joined(rows: DataFrame, percent: int, n: int, tile: int, rounds: int) -> tu
     per = placed.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.sum("m").alias("g"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
     sizes = per.where("comps > 1 AND g > 2").select("k", "g", F.col("g").alias("size"), F.col("top.comp").alias("main"), F.col("top.m").alias("m"), (F.col("g") - F.col("top.m")).alias("f"))
     # two members met as member and hub; few are paired by a join; many in tiles, the main component never with itself
-    open_ = written(meet(placed, written(sizes, "sizes"), ["k"], "g", ["c"]), "open")
+    open_ = written(placed.join(sizes.drop("g"), "k"), "open")
     few = open_.where(F.col("size") <= FEW).select("k", "c", "comp")
     pairs = few.join(few.select("k", F.col("c").alias("v"), F.col("comp").alias("vcomp")), "k").where("c < v AND comp != vcomp").select(F.col("c").alias("u"), "v").distinct()
     found = _join_links(pairs, info, sets, percent)
