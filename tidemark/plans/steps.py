@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a folder of its own."""
+    """A new path under spark.checkpoint.dir. In a local session (tests) it may be unset; then under a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
