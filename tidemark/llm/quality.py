@@ -28,7 +28,7 @@ from tidemark.llm.common import SPACE, docs_of, meet, words, written
 
 ROOT, LEAST, UNIT = 32, 1 << 12, 1024
 MOST_IN_ARRAY = 1 << 24  # buckets: 32 MB
-MOST_IDS = 2_000_000  # trusted ids that are broadcast; more are joined by a shuffle of the texts
+MOST_IDS = 500_000  # trusted ids that are broadcast, some 40 MB; more are joined by a shuffle of the texts
 #: Added to a bucket's trusted count and to the count expected of it, so that rare n-grams weigh little.
 SMOOTHING = 8.0
 THRESHOLD = -0.125
