@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,15 +16,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme: one without belongs to the cluster's default file system, as Spark's own writers take it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + full.removeprefix("file:") if re.match("file:/(?!/)", full) else full
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. In a local session (tests) it may be unset; then an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, with its scheme. In a local session (tests) it may be unset; then an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return qualified(spark, found).rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import docs_of, new_path, written
+from tidemark.llm.common import docs_of, new_path, qualified, written
 
 END_ID, BLOCK, LEVEL, MAGIC = 2, 1 << 16, 3, b"TIDEIDS1"
 CACHE = 800_000
@@ -215,7 +215,7 @@ class ShardReader:
 def _store(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, bits: bool = False, block: int = BLOCK) -> DataFrame:
@@ -239,6 +239,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         size = store.get_file_info(name).size
         yield pd.DataFrame({"shard": [shard], "file": [name], "bytes": [size], "docs": [len(shards.ids)], "tokens": [sum(shards.counts)]})
 
+    path = qualified(docs.sparkSession, path)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     return written(dealt.mapInPandas(write, "shard int, file string, bytes long, docs long, tokens long"), "ids-manifest")
@@ -261,6 +262,7 @@ def read_tokens(manifest: DataFrame, path: str, digests_only: bool = False) -> D
                             out = []
                     yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
 
+    path = qualified(manifest.sparkSession, path)
     before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
     files = manifest.withColumn("start", F.coalesce(before, F.lit(0))).select("file", "bytes", "start")
     spread = files.repartition(max(1, manifest.count()))

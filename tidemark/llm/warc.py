@@ -13,7 +13,8 @@ response, others are revisits that name it; smaller ones are all responses.
 Payloads move once, from the rows that own them; the many rows of a large group of copies
 carry digests only, and pre-aggregated owners meet them in a join that Spark may split.
 
-Defined results: null html is an empty payload; a null url gives no WARC-Target-URI line; rows
+Defined results: null html is an empty payload; a null url gives no WARC-Target-URI line; blanks and
+control characters of a url are percent-encoded in the header, and the header table has the url as it is; rows
 with a null id are archived as responses of their own unless a row with an id owns the payload,
 and then revisit it; repeated rows (same id, same payload) are the same record and all of them
 take part, the owner's repeats as responses; very long payloads are one record each; an empty
@@ -27,22 +28,38 @@ import gzip
 import io
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.common import new_path, write_table
+from tidemark.llm.common import new_path, qualified, write_table
 
 DATE = "2024-01-31T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-@F.pandas_udf(T.StringType())
-def base32(hexes: pd.Series) -> pd.Series:
-    return hexes.map(lambda h: base64.b32encode(bytes.fromhex(h)).decode())
+#: Characters that would end a header line or a field; the header has them percent-encoded, the column `url` as they are.
+CONTROL = [*range(33), 127]
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def base32(hexes: Column) -> Column:
+    """Hexadecimal digits, a multiple of five of them, as base32: five of them are four characters."""
+
+    def four(k: Column) -> Column:
+        bits = F.conv(F.substr(hexes, 5 * k + 1, F.lit(5)), 16, 10).cast("int")
+        return F.concat(*[F.substr(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for shift in (15, 10, 5, 0)])
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(hexes) / 5).cast("int") - 1), four), "")
+
+
+def header_value(url: Column) -> Column:
+    """url without characters that could start another header line."""
+    encoded = reduce(lambda c, k: F.replace(c, F.lit(chr(k)), F.lit(f"%{k:02X}")), CONTROL, url)
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), encoded).otherwise(url)
 
 
 def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
@@ -69,11 +86,11 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     block = F.octet_length("http") + F.when(F.col("record_type") == "response", F.col("n")).otherwise(F.lit(0))
     warc = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", urn(F.coalesce(F.col("page_id").cast("string"), F.lit("none")))), line("WARC-Date", F.lit(DATE)),
-        line("WARC-Target-URI", F.col("url")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("b32"))), line("WARC-Refers-To", urn(F.col("refers_to").cast("string"))),
+        line("WARC-Target-URI", header_value(F.col("url"))), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("b32"))), line("WARC-Refers-To", urn(F.col("refers_to").cast("string"))),
         line("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit(PROFILE))), line("WARC-Payload-Length", F.col("n").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", block.cast("string")), F.lit("\r\n"),
     )
-    heads = rec.withColumn("b32", sha1).withColumn("http", http).select("page_id", "record_type", "refers_to", F.when(F.col("record_type") == "response", F.col("digest")).alias("digest"), F.concat(warc, "http").cast("binary").alias("head"))
+    heads = rec.withColumn("b32", sha1).withColumn("http", http).select("page_id", "url", "record_type", "refers_to", F.when(F.col("record_type") == "response", F.col("digest")).alias("digest"), F.concat(warc, "http").cast("binary").alias("head"))
     write_table(heads, f"{path}/headers")
     # of each digest one page: rows meet it by digest and page, so that many copies do not gather, and what is left needs no second shuffle
     page = [F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("none")]
@@ -135,11 +152,12 @@ def parse_records(df: DataFrame, digests_only: bool = False) -> DataFrame:
 
 def export_files(records: DataFrame, path: str) -> DataFrame:
     """Writes records as gzip members, a .warc.gz file a task, through Arrow's file systems; rows (file, records) name the files that count."""
+    path = qualified(records.sparkSession, path)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
         name, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
         with store.open_output_stream(name, compression=None) as out:
@@ -154,11 +172,12 @@ def export_files(records: DataFrame, path: str) -> DataFrame:
 
 def read_files(files: DataFrame, root: str) -> DataFrame:
     """Rows (file) of export_files to rows (record), a member at a time."""
+    root = qualified(files.sparkSession, root)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, _ = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        store, _ = fs.FileSystem.from_uri(root)
         for batch in batches:
             for name in batch["file"]:
                 with store.open_input_stream(name, compression=None) as raw, gzip.GzipFile(fileobj=io.BufferedReader(raw)) as text:
