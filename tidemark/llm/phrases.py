@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ MOST_BITS = 1 << 28
 #: Words that a task counts, and n-grams that it holds, before it gives them up; bytes of automata that wait for a union.
 HELD_WORDS, HELD_GRAMS, HELD_BYTES = 500_000, 2_000_000, 32 << 20
 #: Occurrences that one prefix range is meant for, and how many ranges there are at most.
-RANGE_WORDS, MOST_RANGES = 2_000_000, 20_000
+RANGE_WORDS, MOST_RANGES = 8_000_000, 20_000
 #: A-Z become small letters, the ends of pieces line ends, a tab a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: Stands between pieces; no byte of UTF-8.
@@ -92,10 +93,11 @@ def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def automaton(ids: np.ndarray, weight: np.ndarray, words: list[bytes], least: int = 0) -> bytes:
-    """ids: n-grams as rows of places in words, -1 after the end. Arcs that fewer than `least` pass are cut off."""
-    used = np.unique(ids[ids >= 0])
-    order = sorted(used.tolist(), key=words.__getitem__)
-    place = np.full(len(words) + 1, -1, np.int64)  # the last one stands for -1
+    """ids: n-grams as rows of places in words, which are sorted, -1 after the end. Arcs that fewer than `least` pass are cut off."""
+    used = np.zeros(len(words) + 1, bool)  # the last one stands for -1
+    used[ids] = True
+    order = np.flatnonzero(used[:-1])
+    place = np.full(len(words) + 1, -1, np.int64)
     place[order] = np.arange(len(order))
     ids = place[ids]
     levels, at, rows = [], np.zeros(len(ids), np.int64), np.arange(len(ids))
@@ -127,13 +129,19 @@ def automaton(ids: np.ndarray, weight: np.ndarray, words: list[bytes], least: in
                     arcs.append(own)
     starts = np.cumsum([0, 0, *map(len, arcs)])
     flat = np.concatenate(arcs) if arcs else np.zeros((0, 3), np.int64)
-    return pickle.dumps((b" ".join(words[k] for k in order), starts.astype(np.int32), flat[:, 0].astype(np.int32), flat[:, 1], flat[:, 2].astype(np.int32), int(target[0])), 5)
+    passed = flat[:, 1] if flat[:, 1].max(initial=0) >> 31 else flat[:, 1].astype(np.int32)
+    return zstandard.compress(pickle.dumps((b" ".join(words[k] for k in order.tolist()), starts.astype(np.int32), flat[:, 0].astype(np.int32), passed, flat[:, 2].astype(np.int32), int(target[0])), 5), 1)
+
+
+def opened(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Words; where each state's arcs start; label, weight and target of every arc; the first state."""
+    names, *arcs, root = pickle.loads(zstandard.decompress(blob))
+    return names.split(b" ") if names else [], *arcs, root
 
 
 def paths(blob: bytes) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: the words, the n-grams as rows, how many pass, and how many end there."""
-    names, starts, label, passed, target, root = pickle.loads(blob)
-    words = names.split(b" ") if names else []
+    words, starts, label, passed, target, root = opened(blob)
     state, ids, weight = np.array([root]), np.zeros((1, 0), np.int32), np.zeros(1, np.int64)
     while len(state):
         n = starts[state + 1] - starts[state]
@@ -156,7 +164,16 @@ def union(blobs: list[bytes], least: int = 0) -> bytes:
             ends.append(end)
     if not ids:
         return automaton(np.zeros((0, 1), np.int64), np.zeros(0), [])
-    return automaton(np.concatenate(ids), np.concatenate(ends), list(place), least)
+    words, new = in_order(list(place))
+    return automaton(new[np.concatenate(ids)], np.concatenate(ends), words, least)
+
+
+def in_order(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words sorted, and the new place of each; the last place stays -1."""
+    order = sorted(range(len(words)), key=words.__getitem__)
+    place = np.full(len(words) + 1, -1, np.int32)
+    place[order] = np.arange(len(order))
+    return [words[k] for k in order], place
 
 
 class Words(dict):
@@ -204,12 +221,14 @@ def shard_automata(docs: DataFrame, ranges: int, words: Broadcast, pairs: Broadc
             own, grams = known.pop(lang), np.concatenate(held.pop(lang))
             if not len(grams):
                 return
-            hashes = np.array(own.hashes, np.uint64)
-            weight = np.ones(len(grams), np.int64)
+            names, new = in_order(own.names)
+            hashes = np.empty(len(names), np.uint64)
+            hashes[new[:-1]] = own.hashes
+            grams, weight = new[grams], np.ones(len(grams), np.int64)
             if pairs is None:
                 key, weight = np.unique(grams[:, 0].astype(np.int64) << 32 | grams[:, 1], return_counts=True)
                 grams = np.column_stack([key >> 32, key & 0xFFFFFFFF])
-            yield from cut_up(lang, own.names, grams, weight, range_of(pair_hash(hashes[grams[:, 0]], hashes[grams[:, 1]]), ranges))
+            yield from cut_up(lang, names, grams, weight, range_of(pair_hash(hashes[grams[:, 0]], hashes[grams[:, 1]]), ranges))
 
         for batch in batches:
             for lang, found in of_langs(batch, b" " + BREAK + b" "):
@@ -243,9 +262,11 @@ def word_automata(frequent: DataFrame, ranges: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, own in batch.to_pandas().groupby("lang"):
-                names = [w.encode() for w in own["word"]]
+                names, new = in_order([w.encode() for w in own["word"]])
+                f = np.empty(len(names), np.int64)
+                f[new[:-1]] = own["f"]
                 where = range_of(np.array([word_hash(lang, w) for w in names], np.uint64), ranges)
-                yield from cut_up(lang, names, np.arange(len(names))[:, None], own["f"].to_numpy(), where)
+                yield from cut_up(lang, names, np.arange(len(names))[:, None], f, where)
 
     return frequent.select("lang", "word", "f").mapInArrow(scan, AUTOMATA)
 
@@ -320,8 +341,8 @@ def looked_up(parts: DataFrame, automata: DataFrame, ranges: int) -> DataFrame:
     def walk(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         f = np.zeros(len(asked), np.int64)
         for lang, blob in zip(own["lang"], own["automaton"]):
-            names, starts, label, passed, target, root = pickle.loads(blob)
-            number = {w: k for k, w in enumerate(names.split(b" "))}
+            names, starts, label, passed, target, root = opened(blob)
+            number = {w: k for k, w in enumerate(names)}
             for k in np.flatnonzero((asked["lang"] == lang).to_numpy()).tolist():
                 state, n = root, 0
                 for w in asked["part"].iat[k].encode().split(b" "):
