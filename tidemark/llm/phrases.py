@@ -135,8 +135,8 @@ def automaton(ids: np.ndarray, weight: np.ndarray, words: list[bytes], least: in
 
 def opened(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Words; where each state's arcs start; label, weight and target of every arc; the first state."""
-    names, *arcs, root = pickle.loads(zstandard.decompress(blob))
-    return names.split(b" ") if names else [], *arcs, root
+    names, starts, label, passed, target, root = pickle.loads(zstandard.decompress(blob))
+    return names.split(b" ") if names else [], starts, label, passed.astype(np.int64), target, root
 
 
 def paths(blob: bytes) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
