@@ -69,17 +69,6 @@ def jn_crowd_pairs(spark, sf_dir):
     return window_pairs(assertions(spark, sf_dir), 12 * HOUR).where("b = 6").groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query("gr_independence_groups", f"""WITH RECURSIVE {OBS}, day AS (SELECT DISTINCT place_id, t // 86400000000 AS d, value FROM obs WHERE value = 'closed'),
-e AS (SELECT x.place_id AS a, y.place_id AS b FROM day x JOIN day y ON x.d = y.d AND x.place_id < y.place_id GROUP BY 1, 2 HAVING count(*) >= 9),
-both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS root FROM both_ UNION SELECT b.b, r.root FROM r JOIN both_ b ON b.a = r.node)
-SELECT node, min(root) AS root FROM r GROUP BY node""")
-def gr_independence_groups(spark, sf_dir):
-    """Connected components of places that closed on the same day at least nine times."""
-    day = observations(spark, sf_dir).where("value = 'closed'").select("place_id", F.expr("t div 86400000000").alias("d")).distinct()
-    e = day.select(F.col("place_id").alias("a"), "d").join(day.select(F.col("place_id").alias("b"), "d"), "d").where("a < b").groupBy("a", "b").count().where("count >= 9")
-    return components(e)
-
-
 # ---- reliability: each unit's last value a bucket against the others'
 
 BUCKET = 12 * HOUR
