@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import audit, belief, bulletins, catalogue, composites, copying, learn, monitor, news, places, reads, reports, series, summaries, temporal, textops, voices  # noqa: F401
-from tidemark.plans import categories, spec  # noqa: F401
+from tidemark.plans import categories, loads, spec  # noqa: F401
 from tidemark.plans.register import ORACLE, QUERIES
 from tidemark.sources import feeds, files  # noqa: F401
 from tidemark.streaming import events  # noqa: F401
