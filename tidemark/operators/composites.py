@@ -89,13 +89,6 @@ def st_alarm_ledger(spark, sf_dir):
     return o.where("bad <> was").select("place_id", "t", F.when(F.col("bad"), "open").otherwise("resolve").alias("action"))
 
 
-@query("st_rebuild", "WITH done AS (SELECT doc_id FROM labels) SELECT source, count(*) AS owed FROM documents ANTI JOIN done USING (doc_id) GROUP BY 1")
-def st_rebuild(spark, sf_dir):
-    """Only what has no verdict of this version is classified again."""
-    done = table(spark, sf_dir, "labels").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(done, "doc_id", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("owed"))
-
-
 @query("rt_related_incidents", f"""WITH {PLACES}, {OBS}, i AS (SELECT obs_id, t, 31.0 + (place_id * 37 % 1000) / 1000.0 AS lat, 34.5 + (place_id * 91 % 1000) / 1000.0 AS lon FROM obs WHERE value = 'closed' AND t > {AS_OF} - {3 * DAY})
 SELECT su.id, i.obs_id FROM su JOIN i ON 111195.0 * sqrt(pow(su.lat - i.lat, 2) + pow((su.lon - i.lon) * cos(radians(31.5)), 2)) <= 20000 QUALIFY row_number() OVER (PARTITION BY su.id ORDER BY i.t DESC, i.obs_id) <= 4""")
 def rt_related_incidents(spark, sf_dir):
