@@ -179,13 +179,15 @@ def in_order(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 class Words(dict):
     """Of a language: word to its place among the shard's frequent words, -1 for all others."""
 
-    def __init__(self, lang: str, bits: np.ndarray):
+    def __init__(self, lang: str, bits: bytes):
         super().__init__({BREAK: -1})
-        self.lang, self.bits, self.names, self.hashes = lang, bits, [], []
+        self.bits, self.names, self.hashes = bits, [], []
+        self.seed, self.mask = xxhash.xxh64_intdigest(lang.encode(), 42), 8 * len(bits) - 1
 
     def __missing__(self, word: bytes) -> int:
-        h = word_hash(self.lang, word)
-        self[word] = place = len(self.names) if has(self.bits, np.array([h], np.uint64))[0] else -1
+        h = xxhash.xxh64_intdigest(word, self.seed)
+        at = h & self.mask
+        self[word] = place = len(self.names) if self.bits[at >> 3] >> (at & 7) & 1 else -1
         if place >= 0:
             self.names.append(word)
             self.hashes.append(h)
@@ -212,7 +214,7 @@ def shard_automata(docs: DataFrame, ranges: int, words: Broadcast, pairs: Broadc
     """Without pairs: automata of the pairs of frequent words. With them: of runs of frequent pairs, 3 to LONGEST words from each place."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(words.value, np.uint8)
+        bits = words.value
         more = None if pairs is None else np.frombuffer(pairs.value, np.uint8)
         known: dict[str, Words] = {}
         held: dict[str, list[np.ndarray]] = defaultdict(list)
