@@ -20,6 +20,28 @@ CASES = [
 ]
 
 
+#: Lines with the words of roads in their setting.
+CASES += [
+    ("الحاجزين مغلقان", "assertion", {("both", "flow", "closed")}), ("حوارة ممنوع الدخول", "assertion", {("inbound", "flow", "closed")}), ("زعترة منعوا الخروج", "assertion", {("outbound", "flow", "closed")}),
+    ("اللبن في محسوم", "assertion", {("both", "presence", "idf")}), ("صرة حطوا حاجز", "assertion", {("both", "presence", "idf")}), ("المدخل مزطوم", "assertion", {("both", "flow", "congested")}),
+    ("البوابات مسكرات", "assertion", {("both", "flow", "closed")}), ("ماكو جيش", "assertion", {("both", "absence", "idf")}), ("الجيش تحت الجسر ومنعو المرور بالاتجاهين", "assertion", {("both", "presence", "idf"), ("both", "flow", "closed")}),
+    ("وفتحوا النار عند حوارة", "assertion", {("both", "presence", "idf")}), ("مين متاكد من عورتا", "question", set()), ("مش عارف وضع حوارة", "question", set()), ("حوارة 🟩", "assertion", {("both", "flow", "open")}), ("حوارة 🚫", "assertion", {("both", "flow", "closed")}),
+    ("شالوا المكعبات عن صرة", "assertion", {("both", "flow", "open")}), ("انفكت الازمه", "assertion", {("both", "flow", "open")}), ("عين شبلي بطيء عالاتجاهين", "assertion", {("both", "flow", "slow")}), ("بدها تسكر حوارة", "unparsed", set()),
+]
+WORDS = [(f"حوارة {w}", ("both", axis, v)) for axis, words in (("flow", reports.FLOW), ("presence", reports.PRESENCE)) for v, ws in words.items() for w in ws]
+WORDS += [(f"حوارة {w} {d}", (way, "flow", v)) for v, ws in reports.FLOW.items() for w in ws[:3] for way, ds in reports.DIRECTION.items() for d in ds]
+WORDS += [(f"حوارة {p}", (reports.PHRASE_DIRECTION.get(p.split()[-1], "both"), axis, v)) for p, axis, v in reports.PHRASES]
+
+
+def test_every_word_in_a_line(spark):
+    assert len({x for x, _ in WORDS}) > 400
+    got = {}
+    for r in reports.readings(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(WORDS)], "id long, text string")).collect():
+        got.setdefault(r.id, set()).add((r.direction, r.axis, r.value))
+    wrong = {WORDS[k][0]: (v, WORDS[k][1]) for k, v in got.items() if v != {WORDS[k][1]}}
+    assert not wrong, sorted(wrong.items())
+
+
 @pytest.fixture(scope="module")
 def read(spark):
     lines = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(CASES)] + [(900, None)], "id long, text string")

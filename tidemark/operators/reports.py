@@ -17,39 +17,75 @@ from tidemark.functions import text as X
 from tidemark.plans.register import query
 from tidemark.sources.analogues import table
 
-# ---- Fixed values: the words that channels use, in normalised spelling.
+# ---- Fixed values: the words that channels use, in normalised spelling, one a string.
 FLOW = {
-    "open": "سالك سالكه سالكين مفتوح مفتوحه مفتوحين فاتح فاتحه فتح فتحت فتحوا فاتحين انفتح نظيف ماشي ماشيه طبيعي عادي",
-    "slow": "بطيء بطئ بطيئ بطيه متقطع",
-    "congested": "زحمه ازمه مزحوم ضاغط ضغط مزدحم مزدحمه ازدحام اختناق وقفه واقف واقفه كثافه تكدس زاطم زاطمه مازمه",
-    "closed": "مغلق مغلقه مغلقين مقفل مقفله مسكر مسكره موقوف مسدود مسدوده سكروا سكر اغلاق مسكرين مقفول سكرت اغلق اغلقت",
+    "open": ["سالك", "سالكه", "سالكين", "مفتوح", "مفتوحه", "مفتوحين", "فاتح", "فاتحه", "فتح", "فتحت", "فتحوا", "فاتحين", "انفتح", "نظيف", "ماشي", "ماشيه", "طبيعي", "عادي"],
+    "slow": ["بطيء", "بطئ", "بطيئ", "بطيه", "متقطع"],
+    "congested": [
+        "زحمه", "ازمه", "مزحوم", "ضاغط", "ضغط", "مزدحم", "مزدحمه", "ازدحام", "اختناق", "وقفه", "واقف", "واقفه", "كثافه", "تكدس",
+        "زاطم", "زاطمه", "مزطوم", "زطمه", "مازمه",
+    ],
+    "closed": [
+        "مغلق", "مغلقه", "مغلقين", "مقفل", "مقفله", "مسكر", "مسكره", "موقوف", "مسدود", "مسدوده", "سكروا", "سكر", "اغلاق",
+        "مغلقان", "مغلقتان", "مغلقتين", "مسكرين", "مسكرات", "مقفول", "مقفوله", "مقفولين", "سكروه", "سكرت", "اغلق", "اغلقت", "يغلق", "تغلق",
+    ],
+}
+PRESENCE = {
+    "idf": ["جيش", "عسكر", "مداهمه", "دبابات", "جنود", "عسكري"],
+    "police": ["شرطه", "دوريه"],
+    "settlers": ["مستوطنين", "مستوطنون", "مستوطن", "مستوطين", "قطعان"],
+    "inspection": ["تفتيش", "يفتشو", "بفتشو", "تدقيق", "هويات"],
 }
-PRESENCE = {"idf": "جيش عسكر مداهمه دبابات جنود عسكري", "police": "شرطه دوريه", "settlers": "مستوطنين مستوطنون مستوطن قطعان", "inspection": "تفتيش تدقيق هويات"}
 DIRECTION = {
-    "inbound": "للداخل الداخل داخل للدخول دخول جوا الداخلين الوارد لداخل",
-    "outbound": "للخارج الخارج خارج للخروج خروج برا الخارجين الصادر لخارج",
-    "both": "بالاتجاهين الاتجاهين اتجاهين الاتجاهات الطرفين الجهتين بالجهتين عالجهتين",
+    "inbound": ["للداخل", "الداخل", "داخل", "للدخول", "دخول", "جوا", "لجوا", "الداخلين", "الوارد", "لداخل"],
+    "outbound": ["لخارج", "للخارج", "الخارج", "خارج", "للخروج", "خروج", "برا", "لبرا", "الخارجين", "الصادر"],
+    "both": ["بالاتجاهين", "الاتجاهين", "اتجاهين", "الاتجاهات", "الطرفين", "الجهتين", "بالجهتين", "عالجهتين", "للجهتين", "عالاتجاهين"],
 }
 PHRASES = [
-    ("مش سالك", "flow", "closed"), ("مش فاتح", "flow", "closed"), ("غير سالك", "flow", "closed"), ("مو سالك", "flow", "closed"), ("نصب حاجز", "presence", "idf"),
-    ("حاجز طيار", "presence", "idf"), ("فيه جيش", "presence", "idf"), ("فيه شرطه", "presence", "police"), ("تفتيش هويات", "presence", "inspection"),
-    ("حركه خفيفه", "flow", "open"), ("منع المرور", "flow", "closed"), ("ممنوع المرور", "flow", "closed"), ("فتحوا النار", "presence", "idf"), ("اطلاق نار", "presence", "idf"),
+    ("مش سالك", "flow", "closed"), ("مش فاتح", "flow", "closed"), ("غير سالك", "flow", "closed"), ("مو سالك", "flow", "closed"), ("مش ماشي", "flow", "closed"), ("ما بيمشي", "flow", "closed"),
+    ("نصب حاجز", "presence", "idf"), ("عمل حاجز", "presence", "idf"), ("حاجز طيار", "presence", "idf"), ("حواجز طياره", "presence", "idf"),
+    ("حطو محسوم", "presence", "idf"), ("حطوا محسوم", "presence", "idf"), ("نصب محسوم", "presence", "idf"), ("في محسوم", "presence", "idf"), ("فيه محسوم", "presence", "idf"), ("محسوم طيار", "presence", "idf"),
+    ("حطو حاجز", "presence", "idf"), ("حطوا حاجز", "presence", "idf"), ("فيه جيش", "presence", "idf"), ("عليه جيش", "presence", "idf"), ("سيارات الجيش", "presence", "idf"), ("سياره جيش", "presence", "idf"),
+    ("فيه شرطه", "presence", "police"), ("سياره شرطه", "presence", "police"), ("دوريه شرطه", "presence", "police"), ("تفتيش هويات", "presence", "inspection"), ("تفتيش دقيق", "presence", "inspection"),
+    ("فيه ضغط", "flow", "congested"), ("فيه زحمه", "flow", "congested"), ("في ازمه", "flow", "congested"), ("كثافه سير", "flow", "congested"), ("حركه خفيفه", "flow", "open"), ("سير طبيعي", "flow", "open"),
+    ("في حاجز", "presence", "idf"), ("فيه حاجز", "presence", "idf"),
+    ("منع المرور", "flow", "closed"), ("منعو المرور", "flow", "closed"), ("منعوا المرور", "flow", "closed"), ("ممنوع المرور", "flow", "closed"), ("المرور ممنوع", "flow", "closed"),
+    ("ومنع المرور", "flow", "closed"), ("ومنعو المرور", "flow", "closed"), ("ومنعوا المرور", "flow", "closed"),
+    ("ممنوع الدخول", "flow", "closed"), ("ممنوع الخروج", "flow", "closed"), ("منع الدخول", "flow", "closed"), ("منع الخروج", "flow", "closed"), ("منعوا الدخول", "flow", "closed"), ("منعوا الخروج", "flow", "closed"), ("منعو الدخول", "flow", "closed"), ("منعو الخروج", "flow", "closed"),
+    ("فتح النار", "presence", "idf"), ("فتحوا النار", "presence", "idf"), ("فتحت النار", "presence", "idf"), ("فتحو النار", "presence", "idf"), ("وفتحوا النار", "presence", "idf"), ("اطلاق النار", "presence", "idf"), ("اطلاق نار", "presence", "idf"),
 ]
-CLEARING = "انسحب انسحبوا انسحبت شالو شالوا رفعوا رفع ازالوا فكوا راح راحت راحوا غادر غادروا تركوا خلص خلصت انتهي انتهت زالت".split()
-NEGATORS, ABSENT = "مش ما مو بدون بلا غير".split(), "مافي مافيش مافيه مفيش فش فيش".split()
-EXISTS, PRONOUNS, STILL = "في فيه يوجد".split(), "هو هي هم".split(), "زال زالت زالوا يزال تزال".split()
-RELATIVE, CONDITIONS, FUTURE = "بعد قبل زي مثل حسب كل اول عقب".split(), "اذا لو بحال".split(), "راح رح بدهم بده بدو".split()
-NOUNS, OBSTACLES = "ازمه زحمه اختناق ازدحام كثافه تكدس اغلاق ضغط".split(), "حاجز حواجز بوابه محسوم اغلاق ازمه زحمه".split()
-ASKING, ASKED = "شو وش ايش كيف وين مين هل ليش متي قديش".split(), "شو وضع|حدا يعرف|حدا بيعرف|بدي اعرف|ما بعرف|مش متاكد|يعطينا دليل"
-EMOJI = {"✅": "open", "🟢": "open", "🟡": "slow", "🟠": "congested", "❌": "closed", "⛔": "closed", "🛑": "closed"}
+#: A phrase that closes one direction names it.
+PHRASE_DIRECTION = {"الدخول": "inbound", "الخروج": "outbound"}
+CLEARING = [
+    "انسحب", "انسحبوا", "انسحبت", "شالو", "شالوا", "شال", "رفعوا", "رفع", "ازالوا", "فكوا", "راح", "راحت", "راحوا", "غادر", "غادروا", "تركوا", "خلص", "خلصت", "انتهي", "انتهت",
+    "فتحوه", "فتحوها", "انفكت", "انفك", "فكت", "زالت",
+]
+NEGATORS = ["مش", "ما", "مو", "بدون", "بلا", "غير"]
+ABSENT = ["مافي", "مافيش", "مافيه", "مفيش", "فش", "فيش", "ماكو"]
+EXISTS = ["في", "فيه", "يوجد", "يوجدش"]
+PRONOUNS = ["هو", "هي", "هم", "هوه", "هيه"]
+STILL = ["زال", "زالت", "زالوا", "زالا", "يزال", "تزال"]
+RELATIVE = ["بعد", "قبل", "زي", "زى", "مثل", "حسب", "كل", "اول", "عقب", "طول", "عشان", "وقت", "بس"]
+CONDITIONS = ["اذا", "لو", "بحال"]
+FUTURE = ["راح", "رح", "بدهم", "بده", "بدو", "بدها"]
+NOUNS = ["ازمه", "زحمه", "اختناق", "ازدحام", "كثافه", "تكدس", "اغلاق", "ضغط"]
+OBSTACLES = ["حاجز", "حواجز", "بوابه", "بوابات", "محسوم", "اغلاق", "ازمه", "زحمه", "سواتر", "مكعبات"]
+ASKING = ["شو", "وش", "ايش", "كيف", "كيفك", "وين", "مين", "هل", "ليش", "متي", "شومع", "شومعليش", "امتي", "قديش", "بكم"]
+ASKED = [
+    "شو وضع", "شو اخبار", "شو الوضع", "حدا يعرف", "مين بيعرف", "حدا بيعرف", "بدنا نعرف", "بدي اعرف", "في حدا", "شو صار", "يعطينا دليل", "اعطونا دليل", "مين متاكد", "مش متاكد", "حدا متاكد",
+    "ما بعرف", "مابعرف", "حد بعرف", "حد يعرف", "بعرف اذا", "مش عارف", "مش عارفين",
+]
+EMOJI = {"✅": "open", "🟢": "open", "🟩": "open", "✔": "open", "☑": "open", "🟠": "congested", "🟧": "congested", "🟡": "slow", "🟨": "slow", "❌": "closed", "⛔": "closed", "🚫": "closed", "🛑": "closed"}
 SEVERITY = ["open", "slow", "congested", "closed"]
 FLIP = {"open": "closed", "closed": "open", "congested": "open", "slow": "open"}
 CLAUSES = r"[،؛,\n\r]+|\s+[-–—]\s+|\s+و\s+"
 
 
-def lookup(tok: Column, words: dict[str, str]) -> Column:
-    """The value of a token, of it without a fused article, or without a fused conjunction, or without drawn-out letters."""
-    table_ = F.create_map(*[F.lit(x) for value, ws in words.items() for w in ws.split() for x in (w, value)])
+def lookup(tok: Column, words: dict[str, list[str]]) -> Column:
+    """The value of a token, of it without a fused article, or without a fused conjunction, or without drawn-out letters. Words are folded as texts are."""
+    fold = str.maketrans(X.FOLD_FROM, X.FOLD_TO)
+    folded = {w.translate(fold): value for value, ws in words.items() for w in ws}
+    table_ = F.create_map(*[F.lit(x) for kv in folded.items() for x in kv])
     bare, drawn = F.regexp_replace(tok, "^(?:لل|[بلكفو]ال|ال)", ""), F.regexp_replace(tok, r"(.)\1{2,}", "$1")
     forms = [tok, F.when(F.length(bare) >= 3, bare), F.when((F.length(tok) >= 4) & tok.startswith("و"), F.substring(tok, 2, 99)), F.when(F.length(drawn) >= 3, drawn)]
     return F.coalesce(*[F.try_element_at(table_, f) for f in forms])
@@ -69,7 +105,7 @@ def is_question(text: Column) -> Column:
     toks = F.split(norm, " ")
     head = F.arrays_overlap(F.slice(toks, 1, 2), F.array(*map(F.lit, ASKING)))
     short = (F.size(toks) <= 6) & F.arrays_overlap(toks, F.array(*map(F.lit, ASKING)))
-    return text.rlike("[؟?]") | norm.rlike(ASKED) | head | short
+    return text.rlike("[؟?]") | norm.rlike("|".join(ASKED)) | head | short
 
 
 def tokens(lines: DataFrame) -> DataFrame:
@@ -80,9 +116,10 @@ def tokens(lines: DataFrame) -> DataFrame:
     t = d.select("id", "c", "raw", F.posexplode(F.split(F.btrim("s"), " ")).alias("i", "tok"))
     axis = pick(F.col("tok"), {f"@{k}": a for k, (_, a, _) in enumerate(PHRASES)})
     value = pick(F.col("tok"), {f"@{k}": v for k, (_, _, v) in enumerate(PHRASES)})
+    way = pick(F.col("tok"), {f"@{k}": d for k, (p, _, _) in enumerate(PHRASES) if (d := PHRASE_DIRECTION.get(p.split(" ")[-1]))})
     peeled = F.when((F.length("tok") >= 3) & F.col("tok").rlike("^[وف]") & F.substring("tok", 2, 99).isin(NEGATORS + ABSENT), F.substring("tok", 2, 99)).otherwise(F.col("tok"))
     return t.select(
-        "*", axis.alias("p_axis"), value.alias("p_value"), lookup(F.col("tok"), FLOW).alias("flow"), lookup(F.col("tok"), PRESENCE).alias("pres"), lookup(F.col("tok"), DIRECTION).alias("dir"),
+        "*", axis.alias("p_axis"), value.alias("p_value"), lookup(F.col("tok"), FLOW).alias("flow"), lookup(F.col("tok"), PRESENCE).alias("pres"), F.coalesce(lookup(F.col("tok"), DIRECTION), way).alias("dir"),
         F.when(peeled.isin(NEGATORS + ABSENT + ["لا", "ولا"]), peeled).alias("neg"), F.regexp_replace("tok", "^و", "").isin(CLEARING).alias("clear"),
     )
 
