@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,24 +63,53 @@ def tx_palhub_roads(spark, sf_dir):
 
 # ---- price lists
 
-#: What names the authority, what marks a text as no announcement, products and their words.
-AUTHORITY = "الهيئة العامة للبترول|هيئة البترول"
-NO_NEWS = "غير صحيح|لا صحة|شائع|إشاع|مفبرك|يتم تداول|لم تصدر|كانت|سابق"
-OLD_PRICE = r"(?:بدلا|بدل|عوضا عن|مقارنة ب\S*|بمقدار|بقيمة)\s*(?:من\s*)?\d+(?:[.,]\d+)?\s*(?:شيكل|شيقل|شواكل)?"
-PRICE = r"(?<![\d.])(\d{1,3}(?:\.\d{1,2})?)\s*(?:شيكل|شيقل|شواكل)"
-PRODUCTS = [("gasoline_95", r"بنزين\s*(?:أوكتان)?\s*95(?!\d)"), ("gasoline_98", r"بنزين\s*(?:أوكتان)?\s*98(?!\d)"), ("diesel", "سولار|ديزل"), ("kerosene", "الكاز|كاز "), ("lpg_12", "[أا]سطوانة[^،\n]{0,25}?12\\s*كغم")]
+#: What names the authority, what marks a text as no announcement, what stands before an old price or a difference, currencies, products and weights.
+AUTHORITY = ["الهيئة العامة للبترول", "هيئة البترول", "وزارة المالية والتخطيط", "المالية الفلسطينية"]
+NO_NEWS = ["غير صحيح", "لا صحة", "شائع", "إشاع", "اشاع", "مفبرك", "يتم تداول", "لم تصدر", "أن تصدر", "ان تصدر", "كانت", "كان ", "في حينه", "سابق", "الأعلى منذ", "الأدنى منذ", "إسرائيل", "اسرائيل", "الإسرائيلي", "الاسرائيلي", "أغورة", "اغورة", "الخدمة الذاتية"]
+BEFORE_OLD = ["بدلا", "بدلاً", "بدل", "عوضا", "عوضاً", "مقارنة", "بمقدار", "بقيمة"]
+CURRENCY = ["شيكل", "شيقل", "شواكل"]
+PETROL, GRADES, DIESEL, KEROSENE = "بنزين", {"95": "gasoline_95", "98": "gasoline_98"}, ["سولار", "ديزل"], ["كاز"]
+CYLINDER, KILOGRAMS = ["أسطوان", "اسطوان", "إسطوان"], ["كغم", "كلغم", "كغ", "كيلو"]
+
+
+def any_in(text: Column, values: list[str]) -> Column:
+    return reduce(lambda out, v: out | F.contains(text, F.lit(v)), values, F.lit(False))
+
+
+def starts_with(word: Column, values: list[str]) -> Column:
+    return F.coalesce(reduce(lambda out, v: out | word.startswith(v), values, F.lit(False)), F.lit(False))
+
+
+def product_of(w: Column) -> Column:
+    """What a clause's words are about: a fuel by its name, petrol by the number that follows it within two words, a cylinder by its weight."""
+    bare = F.transform(w, lambda x: F.regexp_replace(x, "^(?:[ولب]?ال|لل|و)", ""))
+    at = F.array_position(bare, PETROL)
+    grade = F.filter(F.slice(w, F.greatest(at, F.lit(1)).cast("int") + 1, 2), lambda x: x.isin(list(GRADES)))
+    petrol = F.when(at > 0, F.try_element_at(F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv]), F.get(grade, F.lit(0))))
+    weight = F.exists(F.transform(w, lambda x, i: (x == "12") & starts_with(F.get(w, i + 1), KILOGRAMS)), lambda x: x)
+    cylinder = F.when(F.exists(w, lambda x: starts_with(F.regexp_replace(x, "^ال", ""), CYLINDER)) & weight, "lpg_12")
+    named = lambda words, name: F.when(F.exists(bare, lambda x: x.isin(words)), name)
+    return F.coalesce(petrol, named(DIESEL, "diesel"), named(KEROSENE, "kerosene"), cylinder)
+
+
+def amounts(w: Column) -> Column:
+    """The numbers that a currency follows and that no word for an old price or a difference precedes by one or two words."""
+    def amount(x: Column, i: Column) -> Column:
+        old = F.coalesce(F.get(w, i - 1).isin(BEFORE_OLD), F.lit(False)) | F.coalesce(F.get(w, i - 2).isin(BEFORE_OLD), F.lit(False))
+        return F.when(starts_with(F.get(w, i + 1), CURRENCY) & ~old, x.try_cast("double"))
+
+    return F.filter(F.transform(w, amount), lambda x: x.isNotNull())
 
 
 def price_list(texts: DataFrame) -> DataFrame:
     """Texts (id, text) to rows (id, verdict, product, price): clauses that name one product and give one price that is neither an old one nor a difference."""
     t = F.regexp_replace(plain_digits(F.col("text")), r"(?<=\d)[،,](?=\d{1,2}(?!\d))", ".")
     d = texts.select("id", t.alias("t"))
-    refused = F.when(~F.col("t").rlike(AUTHORITY), "no authority").when(F.col("t").rlike(NO_NEWS), "no announcement")
+    refused = F.when(~any_in(F.col("t"), AUTHORITY), "no authority").when(any_in(F.col("t"), NO_NEWS), "no announcement")
     d = d.select("id", "t", refused.alias("refused"))
-    product = F.coalesce(*[F.when(F.col("clause").rlike(p), n) for n, p in PRODUCTS])
-    c = d.where("refused IS NULL").select("id", F.explode(F.split("t", r"[،\n:]+")).alias("clause")).withColumn("clause", F.regexp_replace("clause", OLD_PRICE, " "))
-    c = c.select("id", product.alias("product"), F.regexp_extract_all("clause", F.lit(PRICE), 1).alias("p")).where("product IS NOT NULL AND size(p) = 1")
-    got = c.groupBy("id", "product").agg(F.max(F.get("p", F.lit(0)).cast("double")).alias("price"), F.count_distinct("p").alias("n")).where("n = 1").drop("n")
+    c = d.where("refused IS NULL").select("id", F.explode(F.split("t", r"[،\n:]+")).alias("clause")).select("id", F.split(F.btrim(F.regexp_replace("clause", r"[()\s]+", " ")), " ").alias("w"))
+    c = c.select("id", product_of(F.col("w")).alias("product"), amounts(F.col("w")).alias("p")).where("product IS NOT NULL AND size(p) = 1")
+    got = c.groupBy("id", "product").agg(F.max(F.get("p", F.lit(0))).alias("price"), F.count_distinct("p").alias("n")).where("n = 1").drop("n")
     out = d.join(got, "id", "left")
     return out.select("id", F.coalesce("refused", F.when(F.col("product").isNull(), "no prices"), F.lit("prices")).alias("verdict"), "product", "price")
 
@@ -153,21 +186,36 @@ def accepted(bulletins: DataFrame, max_down: float = 0.005, max_rise: float = 0.
     """Bulletins (series, day, total, line) in order of days: rows (series, day, verdict).
 
     A total may fall by max_down (a stated revision) and rise by max_rise since the last accepted
-    one; a missing total is refused; a day's line above the rise is noted. The fold runs over one
-    series, whose length is its number of days.
+    one; a missing total is refused; a day's line above the rise is noted. Spark sorts the bulletins, and spills; a task
+    holds one batch and the last accepted total of one series.
     """
-    start = F.struct(F.lit(None).cast("double").alias("prev"), F.array().cast("array<struct<day:bigint,verdict:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        prev, now = s["prev"], x["total"]
-        verdict = (
-            F.when(now.isNull(), "refused: schema").when(prev.isNull(), "accepted").when((now < prev) & ((prev - now) / prev <= max_down), "accepted: revised down").when(now < prev, "refused: not monotonic")
-            .when((now - prev) / prev > max_rise, "refused: implausible jump").when(x["line"] > now - prev, "accepted: divergent").otherwise("accepted")
-        )
-        return F.struct(F.when(verdict.startswith("accepted"), now).otherwise(prev).alias("prev"), F.concat(s["out"], F.array(F.struct(x["day"].alias("day"), verdict.alias("verdict")))).alias("out"))
-
-    g = bulletins.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("day", F.col("total").cast("double").alias("total"), F.col("line").cast("double").alias("line")))).alias("x"))
-    return g.select("series", F.explode(F.aggregate("x", start, step)["out"]).alias("o")).select("series", "o.*")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, last = None, None
+        for pdf in batches:
+            out = []
+            for key, now, line in zip(pdf["series"], pdf["total"], pdf["line"], strict=True):
+                if key != series:
+                    series, last = key, None
+                verdict = one(None if pd.isna(now) else now, last, line)
+                last = now if verdict.startswith("accepted") else last
+                out.append(verdict)
+            yield pd.DataFrame({"series": pdf["series"], "day": pdf["day"], "verdict": out})
+
+    def one(now: float | None, last: float | None, line: float) -> str:
+        if now is None:
+            return "refused: schema"
+        if last is None:
+            return "accepted"
+        if now < last:
+            return "accepted: revised down" if (last - now) / last <= max_down else "refused: not monotonic"
+        if (now - last) / last > max_rise:
+            return "refused: implausible jump"
+        return "accepted: divergent" if line > now - last else "accepted"
+
+    rows = bulletins.select("series", "day", F.col("total").cast("double").alias("total"), F.col("line").cast("double").alias("line"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.repartition("series").sortWithinPartitions("series", "day", "total", "line").mapInPandas(judge, f"series {kinds['series']}, day {kinds['day']}, verdict string")
 
 
 _TOTALS = """d AS (SELECT l_suppkey AS series, CAST(epoch(date_trunc('month', l_shipdate)) // 86400 AS BIGINT) AS day, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT series, day, n, 10000 + sum(n) OVER (PARTITION BY series ORDER BY day) AS total FROM d),
