@@ -220,12 +220,6 @@ def wn_top_n_bucket(spark, sf_dir):
     return a.groupBy(F.floor(F.col("fraction") * 8).alias("bucket")).agg(F.min_by("id", F.struct("m", "id")).alias("id"))
 
 
-@query("rt_coverage", "SELECT 'orders' AS what, count(*) AS n FROM orders UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'documents', count(*) FROM documents")
-def rt_coverage(spark, sf_dir):
-    one = lambda n: table(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("what"), "n")
-    return one("orders").unionByName(one("events")).unionByName(one("documents"))
-
-
 @query("mt_attribution", f"WITH {SERVING} SELECT source_name, string_agg(DISTINCT dataset_name, '; ' ORDER BY dataset_name) AS credits FROM serving GROUP BY 1")
 def mt_attribution(spark, sf_dir):
     return serving(spark, sf_dir).groupBy("source_name").agg(F.array_join(F.array_sort(F.collect_set("dataset_name")), "; ").alias("credits"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import audit, belief, bulletins, catalogue, composites, copying, corridors, deltas, learn, monitor, news, places, polygons, reads, reports, series, sketches, summaries, temporal, textops, voices  # noqa: F401
+from tidemark.operators import audit, belief, bulletins, catalogue, composites, copying, corridors, deltas, learn, measures, monitor, news, places, polygons, reads, reports, series, sketches, summaries, temporal, textops, voices  # noqa: F401
 from tidemark.plans import categories, loads, spec  # noqa: F401
 from tidemark.plans.register import ORACLE, QUERIES
 from tidemark.sources import feeds, files  # noqa: F401
