@@ -129,3 +129,9 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     got = sorted((r.place_id, r.t // HOUR, r.value) for r in changed.collect())
     assert got == [(1, 0, "open"), (1, 5, "unknown"), (1, 9, "slow"), (2, 0, "closed"), (2, 2, "open"), (2, 6, "unknown")]
     assert {(r.place_id, r.value, r.t // HOUR) for r in now.collect()} == {(1, "slow", 9), (2, "open", 2)}
+
+
+def test_names_of_any_length_inside_a_text(spark):
+    g = spark.createDataFrame([(1, "beit al salim of the six long words", "road"), (2, "salim", "locality")], "id long, name string, kind string")
+    m = spark.createDataFrame([(1, "they say beit al salim of the six long words is shut today"), (2, "near salim today")], "id long, text string")
+    assert {r.id: (r.place, r.rung) for r in places.resolve(m, g).collect()} == {1: (1, "contains"), 2: (2, "contains")}

@@ -46,8 +46,9 @@ def has_token(haystack: Column, needle: Column) -> Column:
 
 def repair_mojibake(text: Column) -> Column:
     """Undoes UTF-8 that was read as Latin-1, where the text has its marks and comes back whole."""
-    again = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
-    return F.when(text.rlike("[\\u00C2\\u00C3][\\u0080-\\u00BF]") & ~again.contains("�"), again).otherwise(text)
+    marked = text.rlike("[\\u00C2\\u00C3][\\u0080-\\u00BF]") & text.rlike("^[\\u0000-\\u00FF]*$")
+    again = F.when(marked, F.decode(F.encode(text, "ISO-8859-1"), "UTF-8"))
+    return F.when(marked & ~again.contains("�"), again).otherwise(text)
 
 
 def similar(a: DataFrame, b: DataFrame, least: float) -> DataFrame:

@@ -240,8 +240,8 @@ def resolve(m: DataFrame, g: DataFrame, fuzzy: float = 0.55, floor: float = 0.40
     exact = t.join(names, F.col("key") == F.col("name")).groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
     exact = exact.select("key", "place", F.lit("exact").alias("rung"), F.round(F.lit(0.95) / (1 + 0.35 * (F.col("n") - 1)), 6).alias("confidence"))
     left = t.join(exact.select("key"), "key", "left_anti").where("length(key) >= 3")
-    words = F.split("key", " ")
-    runs = left.select("key", F.explode(F.flatten(F.transform(words, lambda w, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size(words) - i)), lambda n: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("name"), F.length(F.array_join(F.slice(words, 1, i), " ")).alias("before"))))) ).alias("r")).select("key", "r.*").where("length(name) >= 4")
+    words, longest = F.split("key", " "), names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1  # one number
+    runs = left.select("key", F.explode(F.flatten(F.transform(words, lambda w, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i)), lambda n: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("name"), F.length(F.array_join(F.slice(words, 1, i), " ")).alias("before"))))) ).alias("r")).select("key", "r.*").where("length(name) >= 4")
     weight = F.coalesce(*[F.when(F.col("kind") == k, F.lit(w)) for k, w in KINDS.items()], F.lit(0.9))
     score = (F.length("name") / F.length("key") + 0.35 * (1 - F.when(F.col("before") > 0, F.col("before") + 1).otherwise(0) / F.length("key"))) * weight
     best = runs.join(names, "name").groupBy("key").agg(F.max_by(F.struct("place", "name"), F.struct(F.round(score, 9), -F.col("place"))).alias("b"))

@@ -271,10 +271,10 @@ def gr_source_scout(spark, sf_dir):
 # ---- shapes and paths
 
 
-@query("jn_unnest_arrays", "SELECT conv_id, turn, i, w AS word FROM (SELECT conv_id, turn, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations)) WHERE i < 5")
+@query("jn_unnest_arrays", "SELECT conv_id, turn, i, w AS word FROM (SELECT conv_id, turn, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations))")
 def jn_unnest_arrays(spark, sf_dir):
-    """Parallel arrays as rows, with their places: the first five words of every turn."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.slice(F.split("text", " "), 1, 5)).alias("i", "word"))
+    """Arrays as rows, with their places: all words of every turn."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "word"))
     return t.select("conv_id", "turn", F.col("i").cast("long").alias("i"), "word")
 
 
@@ -328,13 +328,14 @@ def fn_shingles_jaccard(spark, sf_dir):
     return s.select("conv_id", "turn", F.round(X.jaccard(F.col("sh"), F.col("before")), 6).alias("similarity"))
 
 
-@query("fn_demojibake", "SELECT doc_id, left(text, 100) AS text FROM documents")
+@query("fn_demojibake", r"SELECT doc_id, text, coalesce(regexp_matches(text, '^[\x{00}-\x{7F}\x{A0}-\x{FF}]*$') AND regexp_matches(text, '[\x{A0}-\x{FF}]'), false) AS repaired FROM documents")
 def fn_demojibake(spark, sf_dir):
-    """Texts that were read in the wrong encoding come back whole: the query breaks them and repairs them."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 100).alias("text"))
+    """Texts that were read in the wrong encoding come back whole, and are counted: the query breaks them and repairs them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     latin = F.col("text").rlike("^[\\u0000-\\u007F\\u00A0-\\u00FF]*$")
-    broken = F.when(latin, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
-    return d.select("doc_id", X.repair_mojibake(broken).alias("text"))
+    d = d.withColumn("broken", F.when(latin, F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text")))
+    d = d.withColumn("mended", X.repair_mojibake(F.col("broken")))
+    return d.select("doc_id", F.col("mended").alias("text"), (~F.col("mended").eqNullSafe(F.col("broken"))).alias("repaired"))
 
 
 @query("st_watermark_reader", f"WITH {OBS}, d AS (SELECT t // {DAY} AS day, max(obs_id) FILTER (WHERE t % {DAY} < {DAY - 10 * MINUTE}) AS settled, count(*) FILTER (WHERE t % {DAY} < {DAY - 10 * MINUTE}) AS read, count(*) AS seen FROM obs GROUP BY 1) SELECT day, read, seen - read AS held_back, max(settled) OVER (ORDER BY day) AS cursor FROM d")
