@@ -8,7 +8,7 @@ from tidemark.operators import audit, belief, bulletins, cards, catalogue, compo
 from tidemark.plans import categories, loads, registers, spec  # noqa: F401
 from tidemark.plans.register import ORACLE, QUERIES
 from tidemark.sources import feeds, files  # noqa: F401
-from tidemark.streaming import events, sessions  # noqa: F401
+from tidemark.streaming import events, readers, sessions  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
 
