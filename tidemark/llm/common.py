@@ -38,15 +38,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: What a written table's job runs with. Its shuffle files are of no use once it is written, and go. Rows reach Python in batches
+#: of at most so many bytes: a batch is held by the JVM, the worker and its copies at once, in every core of an executor.
+JOB = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def write_table(df: DataFrame, path: str) -> None:
-    """Writes df as Parquet. Once it is written, the shuffle files of the job that made it are of no use and go."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """Writes df as Parquet, under the settings JOB."""
+    spark = df.sparkSession
+    before = {key: spark.conf.get(key) for key in JOB}
+    for key, value in JOB.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
