@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 #: Arabic letter foldings and digits.
 FOLD_FROM, FOLD_TO = "أإآٱىةؤئ٠١٢٣٤٥٦٧٨٩", "اااايهوي0123456789"
-MARKS = "[\\u064B-\\u065F\\u0670\\u0640]"
+MARKS = "\\u0640+[.·]+\\u0640+|[\\u064B-\\u065F\\u0670\\u0640]"
 
 
 def normalize(text: Column) -> Column:
-    """Lower case, without vowel marks, letters folded, punctuation as single spaces. Compatibility forms are left as they are."""
+    """Lower case, without vowel marks and the dots that censors put between stretched letters, letters folded, punctuation as single spaces. Compatibility forms are left as they are."""
     bare = F.regexp_replace(F.lower(text), MARKS, "")
     return F.btrim(F.regexp_replace(F.translate(bare, FOLD_FROM, FOLD_TO), r"[^\p{L}\p{N}]+", " "))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators.newsplaces import read_places
 from tidemark.plans.register import query
 from tidemark.sources.analogues import table
 
@@ -18,8 +19,6 @@ KINDS = [
 FUNERAL, RELEASE, HARM, AGAIN = "تشييع|جنازه|بيت عزاء|ينعي", "افرج\\S*|يفرج|الافراج|تفرج", "ضرب|تعذيب", "الاسير المحرر"
 ACCIDENT, TESTIMONY, SIEGE = "حادث سير|حادث طرق", "يروي|يتحدث عن|شهاده", "حصار"
 SETTLER, ARMY, HOMES, REOPENED = "مستوطن", "قوات|جيش|جنود", "منزل|منازل|بيوت", "اعاده فتح|فتح\\S* بعد"
-PLACE_WORDS = "بلده|قريه|مخيم|خربه|مدينه"
-REGIONS = "نابلس|جنين|طولكرم|رام الله|الخليل|طوباس|قلقيليه|سلفيت|اريحا|بيت لحم"
 
 
 def first_of(norm: Column, rules: list[tuple[str, str]]) -> Column:
@@ -29,19 +28,18 @@ def first_of(norm: Column, rules: list[tuple[str, str]]) -> Column:
 def read(news: DataFrame) -> DataFrame:
     """News (id, text) to rows (id, verdict, kind, reason, place, region, confidence)."""
     n = F.col("norm")
-    d = news.select("id", "text", X.normalize(F.col("text")).alias("norm")).withColumn("refused", first_of(n, REFUSED)).withColumn("kind", first_of(n, KINDS))
+    d = news.select("id", "text", X.normalize(F.col("text")).alias("norm")).withColumn("refused", first_of(n, REFUSED)).withColumn("kind", first_of(n, KINDS)).withColumn("places", read_places(F.col("text")))
     before = F.regexp_extract(n, "^(.*?)(?:اقتحم|تقتحم|يقتحم|اقتحام|مداهمه)", 1)
     kind = F.when((F.col("kind") == "raid") & before.rlike(SETTLER) & ~before.rlike(ARMY), "settler_attack").when((F.col("kind") == "land_levelling") & n.rlike(HOMES), "demolition").otherwise(F.col("kind"))
     guard = (
         F.when((F.col("kind") == "death") & n.rlike(FUNERAL), "obituary or funeral").when((F.col("kind") == "arrest") & n.rlike(RELEASE) & ~n.rlike(HARM) & ~n.rlike(AGAIN), "release")
         .when(F.col("kind").isin("injury", "death") & n.rlike(ACCIDENT), "traffic accident").when(n.rlike(TESTIMONY) & ~n.rlike(SIEGE), "testimony").when((F.col("kind") == "closure") & n.rlike(REOPENED), "reopening")
     )
-    named, bearing = F.regexp_extract(n, rf"(?:{PLACE_WORDS}) (\S+)", 1), F.regexp_extract(n, rf"(\S+) (?:شمال|جنوب|شرق|غرب) (?:{REGIONS})", 1)
-    place = F.coalesce(F.when(named != "", named), F.when(bearing != "", bearing))
-    region = F.regexp_extract(n, f"({REGIONS})", 1)
+    names = F.col("places.names")
+    place, region = F.when(F.size(names) > 0, F.get(names, F.lit(0))), F.col("places.governorate")
     short = F.col("text").isNull() | (F.length(F.btrim("text")) < 25)
     reason = F.when(short, "too short").when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("kind").isNull(), "no incident verb").otherwise(guard)
-    d = d.select("id", kind.alias("kind"), reason.alias("reason"), place.alias("place"), F.when(region != "", region).alias("region"), F.col("kind").isNull().alias("none"), (short | F.col("refused").isNotNull()).alias("out"))
+    d = d.select("id", kind.alias("kind"), reason.alias("reason"), place.alias("place"), region.alias("region"), F.col("kind").isNull().alias("none"), (short | F.col("refused").isNotNull()).alias("out"))
     nowhere = F.col("place").isNull() & F.col("region").isNull()
     verdict = F.when(F.col("out"), "rejected").when(F.col("none"), "unclear").when(F.col("reason").isNotNull(), "rejected").when(nowhere, "unclear").otherwise("incident")
     ok = verdict == "incident"
@@ -55,7 +53,7 @@ def read(news: DataFrame) -> DataFrame:
 #: What outlets write, and how it must be read: (verdict, kind, reason, place?, region, confidence).
 NEWS = [
     ("قوات الاحتلال تقتحم بلدة {} جنوب نابلس صباح اليوم", ("incident", "raid", None, True, "نابلس", 0.80)), ("مستوطنون يقتحمون منازل في قرية {} هذا المساء", ("incident", "settler_attack", None, True, None, 0.70)),
-    ("جرافات الاحتلال تجرف منازل المواطنين في خربة {} شرق طوباس", ("incident", "demolition", None, True, "طوباس", 0.80)), ("الاحتلال يعتقل شابين من مخيم {} في جنين فجرا", ("incident", "arrest", None, True, "جنين", 0.80)),
+    ("جرافات الاحتلال تجرف منازل المواطنين في خربة {} شرق طوباس", ("incident", "demolition", None, True, "طوباس", 0.80)), ("الاحتلال يعتقل شابين من مخيم {} في جنين فجرا", ("incident", "arrest", None, False, "جنين", 0.55)),
     ("الاحتلال يفرج عن الاسير بعد اعتقال دام عشرين عاما من {}", ("rejected", None, "release", False, None, None)), ("تشييع جثمان الشهيد الذي استشهد امس في {} والالاف يشاركون", ("rejected", None, "obituary or funeral", False, None, None)),
     ("اصابة ثلاثة مواطنين في حادث سير قرب بلدة {} غرب جنين", ("rejected", None, "traffic accident", False, None, None)), ("في مثل هذا اليوم اقتحمت قوات الاحتلال مخيم {} قبل سنوات", ("rejected", None, "anniversary", False, None, None)),
     ("قوات الاحتلال تقتحم المنطقة الشرقية من الخليل قبل قليل", ("incident", "raid", None, False, "الخليل", 0.55)), ("اغلاق الطريق الرئيسي قبل قليل ولا مكان معروف للحدث", ("unclear", "closure", "no place", False, None, None)),
