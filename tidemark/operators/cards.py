@@ -22,13 +22,14 @@ FLOOR = 0.6
 
 
 def candidates(readings: DataFrame, stations: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """readings: (card, pass, region, name, ...), stations: (station, region, name). Rows (card, pass, name, station, score) of pairs of a region that are alike by floor or more. Different names are compared once, and only those that share a rare piece."""
-    a = readings.select("card", "pass", "region", "name", fold_for_match(F.col("name")).alias("a")).where("a != ''").distinct()
-    b = stations.select("station", "region", fold_for_match(F.col("name")).alias("b")).where("b != ''")
-    names = lambda df, c: df.select(F.col(c)).distinct().withColumn(f"g{c}", X.grams(F.col(c), 2))
-    near = X.similar(names(a, "a"), names(b, "b"), floor / (2 - floor))
+    """readings: (card, pass, region, name, ...), stations: (station, region, name). Rows (card, pass, name, station, score) of pairs of a region that are alike by floor or more. Different names are compared once a region, and only those of one region that share a rare piece."""
+    a = readings.select("card", "pass", "region", "name", fold_for_match(F.col("name")).alias("a"))
+    a = written(a.where("a != '' AND region IS NOT NULL").distinct(), "readings")  # names are folded once
+    b = written(stations.select("station", "region", fold_for_match(F.col("name")).alias("b")).where("b != '' AND region IS NOT NULL"), "stations")
+    names = lambda df, c: written(df.select("region", c).distinct().withColumn(f"g{c}", X.grams(F.col(c), 2)), "names")
+    near = X.similar(names(a, "a"), names(b, "b"), floor / (2 - floor), ["region"])
     dice = F.round(2 * F.col("similarity") / (1 + F.col("similarity")), 9)
-    return a.join(near.withColumn("score", dice), "a").join(b, ["b", "region"]).select("card", "pass", "name", "station", "score")
+    return a.join(near.withColumn("score", dice), ["region", "a"]).join(b, ["region", "b"]).select("card", "pass", "name", "station", "score")
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
