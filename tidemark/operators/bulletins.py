@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.register import query
+from tidemark.plans.steps import spread
 from tidemark.sources.analogues import DAY, HOUR, table
 
 ARABIC, LATIN = "٠١٢٣٤٥٦٧٨٩", "0123456789"
@@ -82,7 +83,10 @@ def starts_with(word: Column, values: list[str]) -> Column:
 
 def product_of(w: Column) -> Column:
     """What a clause's words are about: a fuel by its name, petrol by the number that follows it within two words, a cylinder by its weight."""
-    bare = F.transform(w, lambda x: F.regexp_replace(x, "^(?:[ولب]?ال|لل|و)", ""))
+    return F.get(F.transform(F.array(F.transform(w, lambda x: F.regexp_replace(x, "^(?:[ولب]?ال|لل|و)", ""))), lambda bare: _product(w, bare)), F.lit(0))
+
+
+def _product(w: Column, bare: Column) -> Column:
     at = F.array_position(bare, PETROL)
     grade = F.filter(F.slice(w, F.greatest(at, F.lit(1)).cast("int") + 1, 2), lambda x: x.isin(list(GRADES)))
     petrol = F.when(at > 0, F.try_element_at(F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv]), F.get(grade, F.lit(0))))
@@ -104,11 +108,12 @@ def amounts(w: Column) -> Column:
 def price_list(texts: DataFrame) -> DataFrame:
     """Texts (id, text) to rows (id, verdict, product, price): clauses that name one product and give one price that is neither an old one nor a difference."""
     t = F.regexp_replace(plain_digits(F.col("text")), r"(?<=\d)[،,](?=\d{1,2}(?!\d))", ".")
-    d = texts.select("id", t.alias("t"))
+    once = lambda x: F.explode(F.array(x))  # noqa: E731  what is exploded is not repeated in filters and columns that name it
+    d = texts.select("id", once(t).alias("t"))
     refused = F.when(~any_in(F.col("t"), AUTHORITY), "no authority").when(any_in(F.col("t"), NO_NEWS), "no announcement")
-    d = d.select("id", "t", refused.alias("refused"))
-    c = d.where("refused IS NULL").select("id", F.explode(F.split("t", r"[،\n:]+")).alias("clause")).select("id", F.split(F.btrim(F.regexp_replace("clause", r"[()\s]+", " ")), " ").alias("w"))
-    c = c.select("id", product_of(F.col("w")).alias("product"), amounts(F.col("w")).alias("p")).where("product IS NOT NULL AND size(p) = 1")
+    d = d.select("id", "t", once(refused).alias("refused"))
+    c = d.where("refused IS NULL").select("id", F.explode(F.split("t", r"[،\n:]+")).alias("clause")).select("id", once(F.split(F.btrim(F.regexp_replace("clause", r"[()\s]+", " ")), " ")).alias("w"))
+    c = c.select("id", once(F.struct(product_of(F.col("w")).alias("product"), amounts(F.col("w")).alias("p"))).alias("x")).select("id", "x.*").where("product IS NOT NULL AND size(p) = 1")
     got = c.groupBy("id", "product").agg(F.max(F.get("p", F.lit(0))).alias("price"), F.count_distinct("p").alias("n")).where("n = 1").drop("n")
     out = d.join(got, "id", "left")
     return out.select("id", F.coalesce("refused", F.when(F.col("product").isNull(), "no prices"), F.lit("prices")).alias("verdict"), "product", "price")
@@ -124,7 +129,7 @@ def tx_fuel_price(spark, sf_dir):
     a = F.when(k % 6 == 1, F.translate(F.replace(a, F.lit("."), F.lit("،")), LATIN, ARABIC)).otherwise(a)
     who = F.when(k % 6 == 4, "أعلنت محطة").when(k % 6 == 5, "هيئة البترول: غير صحيح ما").otherwise("أعلنت الهيئة العامة للبترول")
     text = F.concat(who, F.lit(" أسعار الشهر\nبنزين أوكتان 95 بسعر "), a, F.lit(" شيكل، السولار "), b, F.lit(" شيكل بدلا من 9.50 شيكل"), F.when(k % 6 == 3, "، اسطوانة الغاز 12 كغم 75 شيكل").otherwise(""))
-    return price_list(table(spark, sf_dir, "part").select(k.alias("id"), text.alias("text")))
+    return price_list(spread(table(spark, sf_dir, "part").select("p_partkey")).select(k.alias("id"), text.alias("text")))
 
 
 @query("tx_palhub_fuel", """SELECT p_partkey AS id, 'محطة ' || p_partkey AS station, f AS fuel, CASE (p_partkey + j) % 3 WHEN 0 THEN 'available' WHEN 1 THEN 'out' ELSE 'limited' END AS state FROM part, (VALUES (0, 'diesel'), (1, 'gasoline')) AS x(j, f) WHERE p_partkey % 7 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, 'rejected' FROM part WHERE p_partkey % 7 = 0""")
