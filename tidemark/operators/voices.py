@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions import text as X
 from tidemark.operators.places import GENERIC, penalty
 from tidemark.plans.register import query
+from tidemark.plans.steps import spread
 from tidemark.sources.analogues import table
 
 
@@ -32,6 +33,12 @@ def fn_seqmatch(spark, sf_dir):
     return t.select("conv_id", "turn", F.round(ratio("before", "text"), 6).alias("ratio"))
 
 
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether the ratio is least or more; its two upper bounds come first, as they cost far less."""
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+
 def collapsed(members: DataFrame, least: float = 0.90, head: int = 300) -> DataFrame:
     """members (cluster, at, unit, text): how many units of each cluster spoke in their own words.
 
@@ -47,13 +54,13 @@ def collapsed(members: DataFrame, least: float = 0.90, head: int = 300) -> DataF
             for cluster, units in zip(pdf["cluster"], pdf["units"], strict=True):
                 seen: list[tuple[str, str]] = []
                 for u in units:
-                    if not any(u["text"] and t and SequenceMatcher(None, u["text"], t).ratio() >= least for _, t in seen):
+                    if not any(u["text"] and t and alike(u["text"], t, least) for _, t in seen):
                         seen.append((u["unit"], u["text"]))
                 out.append((cluster, len(units), len(seen)))
             yield pd.DataFrame(out, columns=["cluster", "units", "voices"])
 
     g = first.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("m.at", "unit", "m.text"))).alias("units"))
-    return g.mapInPandas(fold, "cluster long, units long, voices long")
+    return spread(g).mapInPandas(fold, "cluster long, units long, voices long")
 
 
 @query("gr_mirror_collapse")
