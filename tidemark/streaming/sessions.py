@@ -1,23 +1,22 @@
-"""Events that reports open, join and bridge, kept as state that survives a restart.
+"""Events that reports open, join and bridge, kept as a table that survives a restart.
 
 A report joins an event of its key whose first or last report is at most `gap` away; one that lies
 between two events makes them one, under the name of the event that began first. A name is given
-when an event opens and stays. An event is closed, and forgotten by the state, once the watermark has
-passed its last report by `gap`: no row that is not too late can join it then. Rows later than the
-watermark are dropped by Spark. Every batch writes the events it touched; the table of events is the
-newest word on each name.
+when an event opens and stays. Open events and the watermark are a table that each batch writes anew
+beside the one before it: a run that starts again from its checkpoint goes on with it, and a batch
+that is run twice reads and writes the same. A batch's reports meet the open events of their key in a
+window that spills. An event is closed, and no longer held, once the watermark has passed its last
+report by `gap`: no row that is not too late can join it then. Rows not after the watermark of the
+batches before are too late and dropped. The table of events is the newest word on each name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.plans.register import query
 from tidemark.plans.steps import new_path
@@ -25,7 +24,6 @@ from tidemark.sources.analogues import HOUR, micros
 from tidemark.streaming.events import stream
 
 EVENTS = "key string, event string, first long, last long, n long, status string"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def event_name(key: str, t: int, ident: int) -> str:
@@ -33,7 +31,7 @@ def event_name(key: str, t: int, ident: int) -> str:
 
 
 def chained(t: np.ndarray, ident: np.ndarray, gap: int) -> list[tuple[int, int, int, int]]:
-    """Runs (first, last, n, first id) of times whose neighbours are at most gap apart."""
+    """Runs (first, last, n, first id) of times whose neighbours are at most gap apart: of one key, what a batch comes to (the tests hold it against this)."""
     if not len(t):
         return []
     order = np.lexsort((ident, t))
@@ -43,70 +41,42 @@ def chained(t: np.ndarray, ident: np.ndarray, gap: int) -> list[tuple[int, int,
     return [(int(t[a]), int(t[b - 1]), int(b - a), int(ident[a])) for a, b in zip(starts, ends)]
 
 
-class EventSessions(StatefulProcessor):
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "event string, first long, last long, n long")
-
-    def _keep(self, held: list[tuple]) -> None:
-        if held:
-            self.open.put(held)
-        else:
-            self.open.clear()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        touched: dict[str, tuple] = {}
-        for part in rows:
-            for first, last, n, ident in chained(part["t"].to_numpy(np.int64), part["id"].to_numpy(np.int64), self.gap):
-                near = sorted(e for e in held if e[1] - self.gap <= last and first <= e[2] + self.gap)
-                near.sort(key=lambda e: (e[1], e[0]))
-                name = near[0][0] if near else event_name(key[0], first, ident)
-                held = [e for e in held if e not in near]
-                for e in near[1:]:
-                    touched[e[0]] = (e[0], e[1], e[2], 0, "merged")
-                made = (name, min([first, *(e[1] for e in near)]), max([last, *(e[2] for e in near)]), n + sum(e[3] for e in near))
-                held.append(made)
-                touched[name] = (*made, "open")
-        self._keep(held)
-        for name, _, last, *_ in (e for e in held if e[0] in touched):
-            self.handle.registerTimer((last + self.gap) // 1000 + 1)
-        yield pd.DataFrame([(key[0], *e) for e in touched.values()], columns=["key", "event", "first", "last", "n", "status"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        over = [e for e in held if (e[2] + self.gap) // 1000 < now]
-        self._keep([e for e in held if e not in over])
-        yield pd.DataFrame([(key[0], *e, "closed") for e in over], columns=["key", "event", "first", "last", "n", "status"])
-
-    def close(self) -> None:
-        pass
-
-
 def event_sessions(reports: DataFrame, path: str, gap: int, lateness: str) -> DataFrame:
     """reports: a stream (key string, id, t in microseconds). Runs until its input is used up and goes on where an earlier run with this path ended. Rows (key, event, first, last, n, status)."""
     spark = reports.sparkSession
-    rows = reports.withColumn("at", F.timestamp_micros("t")).withWatermark("at", lateness)
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = rows.groupBy("key").transformWithStateInPandas(EventSessions(gap), EVENTS, "Update", "EventTime")
-        write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/rows/number={number}")
-        out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before)
+
+    def step(batch: DataFrame, number: int) -> None:
+        new = batch.select("key", F.lit(None).cast("string").alias("event"), F.col("t").alias("first"), F.col("t").alias("last"), F.lit(1).cast("long").alias("n"), F.col("id").cast("long").alias("id")).where("first IS NOT NULL")
+        mark = None
+        if number:
+            mark = spark.read.parquet(f"{path}/mark/{number - 1}").first()[0]
+            held = spark.read.schema(EVENTS).parquet(f"{path}/rows/number={number - 1}").where("status = 'open'")
+            new = (new if mark is None else new.where(F.col("first") > mark)).unionByName(held.select("key", "event", "first", "last", "n", F.lit(None).cast("long").alias("id")))
+        seen = batch.agg(F.expr(f"unix_micros(timestamp_micros(max(t)) - INTERVAL '{lateness}')")).first()[0]  # one number
+        mark = max((m for m in (mark, seen) if m is not None), default=None)
+        w = Window.partitionBy("key").orderBy("first", "last", "event", "id")
+        before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        runs = new.withColumn("cut", (F.coalesce(F.col("first") - before, F.lit(0)) > gap).cast("long")).withColumn("run", F.sum("cut").over(w))
+        is_held = F.col("event").isNotNull()
+        made = runs.groupBy("key", "run").agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.min_by("id", F.when(~is_held, F.struct("first", "id"))).alias("id"), F.min(F.when(~is_held, F.col("first"))).alias("at"),
+            F.array_sort(F.collect_list(F.when(is_held, F.struct(F.col("first").alias("since"), "event", F.col("last").alias("until"))))).alias("held"),
+        )
+        name = F.coalesce(F.get("held", F.lit(0))["event"], F.substring(F.sha1(F.concat_ws("|", "key", "at", "id")), 1, 20))
+        status = F.when(F.col("last") + gap < F.lit(mark), "closed").otherwise("open")
+        own = F.struct(name.alias("event"), "first", "last", "n", status.alias("status"), (F.col("at").isNotNull() | (status == "closed")).alias("told"))
+        gone = F.transform(F.slice("held", 2, F.size("held")), lambda e: F.struct(e["event"].alias("event"), e["since"].alias("first"), e["until"].alias("last"), F.lit(0).cast("long").alias("n"), F.lit("merged").alias("status"), F.lit(True).alias("told")))
+        made.select("key", F.inline(F.concat(F.array(own), gone))).write.mode("overwrite").partitionBy("told").parquet(f"{path}/rows/number={number}")
+        spark.range(1).select(F.lit(mark).cast("long").alias("mark")).write.mode("overwrite").parquet(f"{path}/mark/{number}")
+
+    reports.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return events(spark, path)
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
     """The newest word on every event that was not merged into another."""
-    rows = spark.read.schema(EVENTS + ", number long").option("basePath", f"{path}/rows").parquet(f"{path}/rows")
-    order = F.struct("number", (F.col("status") == "closed").alias("over"))  # a batch may touch an event and then close it
-    last = rows.groupBy("key", "event").agg(F.max_by(F.struct("first", "last", "n", "status"), order).alias("e"))
+    rows = spark.read.schema(EVENTS + ", number long, told boolean").option("basePath", f"{path}/rows").parquet(f"{path}/rows").where("told")
+    last = rows.groupBy("key", "event").agg(F.max_by(F.struct("first", "last", "n", "status"), "number").alias("e"))
     return last.select("key", "event", "e.*").where("status != 'merged'")
 
 
