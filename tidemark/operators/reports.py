@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.plans.register import query
+from tidemark.plans.steps import written
 from tidemark.sources.analogues import table
 
 # ---- Fixed values: the words that channels use, in normalised spelling, one a string.
@@ -124,11 +125,37 @@ def tokens(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Every word that the grammar looks for. A lookup takes at most five letters off a token's head, or draws letters in that were drawn out.
+WORDS = sorted({w.translate(str.maketrans(X.FOLD_FROM, X.FOLD_TO)) for ws in [*FLOW.values(), *PRESENCE.values(), *DIRECTION.values(), CLEARING, NEGATORS, ABSENT, EXISTS, PRONOUNS, STILL, RELATIVE, CONDITIONS, FUTURE, NOUNS, OBSTACLES, *([p] for p, _, _ in PHRASES)] for x in ws for w in [*x.split(" "), x]} | {"لا", "ولا", "واقف", "واقفه", "وقفه", "موقوف", "حواجز"})
+HEAD = 5
+
+
+def gist(text: Column) -> Column:
+    """The text as far as the grammar sees it: normalised, each word that it cannot know is an x, clauses and signs stay. What is read of it is what is read of the text."""
+    ends = lambda w: reduce(lambda a, b: a | b, [F.substring(w, k, 1000).isin(WORDS) for k in range(1, HEAD + 2)])
+    known = lambda w: ends(w) | (w.rlike(r"(.)\1{2,}") & ends(F.regexp_replace(w, r"(.)\1{2,}", "$1")))
+    signs = "[^" + "".join(EMOJI) + "]+"
+    clause = lambda c: F.concat_ws(" ", F.concat_ws(" ", F.transform(F.split(X.normalize(c), " "), lambda w: F.when(known(w), w).otherwise("x"))), F.regexp_replace(c, signs, ""))
+    return F.concat_ws("،", F.transform(F.split(text, CLAUSES), clause))
+
+
 def facts(lines: DataFrame) -> DataFrame:
-    """Rows (id, direction, axis, value, explicit, confidence) of lines (id, text) that are no questions."""
+    """Rows (id, direction, axis, value, explicit, confidence) of lines (id, text) that are no questions. Lines of one gist are read once."""
+    told = written(lines.where(~is_question(F.col("text"))).select("id", gist(F.col("text")).alias("gist")), "told")
+    return told.join(said(told), "gist").drop("gist")
+
+
+def said(told: DataFrame) -> DataFrame:
+    """Facts of every gist there is (gist, direction, axis, value, explicit, confidence) in told, which is a written table, as another: where they are few, its size says so."""
+    gists = written(told.where("gist IS NOT NULL").select("gist").distinct(), "gists")
+    return written(facts_of(gists.select(F.col("gist").alias("id"), F.col("gist").alias("text"))).withColumnRenamed("id", "gist"), "facts")
+
+
+def facts_of(lines: DataFrame) -> DataFrame:
+    """Facts of lines (id, text), read one by one; none may be a question."""
     w = Window.partitionBy("id", "c").orderBy("i")
     whole = Window.partitionBy("id", "c")
-    t = tokens(lines.where(~is_question(F.col("text"))))
+    t = tokens(lines)
     word = F.coalesce("flow", "pres", "p_axis")
     at = lambda c, k: F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w)
     t = t.withColumn("word", word)
@@ -207,8 +234,9 @@ def merged(b: DataFrame) -> DataFrame:
 
 def readings(lines: DataFrame) -> DataFrame:
     """Every line once or more: (id, modality, direction, axis, value, explicit, confidence); questions and unparsed lines have no facts."""
-    kind = lines.select("id", is_question(F.col("text")).alias("q"))
-    f = kind.join(facts(lines), "id", "left")
+    kind = lines.select("id", is_question(F.col("text")).alias("q"), "text")
+    kind = written(kind.select("id", "q", F.when(~F.col("q"), gist(F.col("text"))).alias("gist")), "told")
+    f = kind.join(said(kind), "gist", "left")
     return f.select("id", F.when(F.col("q"), "question").when(F.col("axis").isNull(), "unparsed").otherwise("assertion").alias("modality"), "direction", "axis", "value", "explicit", "confidence")
 
 
