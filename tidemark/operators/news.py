@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators.newsplaces import read_places
+from tidemark.operators.newsplaces import named, read_places, shape, tokens
 from tidemark.plans.register import query
+from tidemark.plans.steps import written
 from tidemark.sources.analogues import table
 
 # ---- Fixed values, in normalised spelling: what is no report of an event, what kinds of event there are, and what takes a kind back.
@@ -26,20 +27,22 @@ def first_of(norm: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def read(news: DataFrame) -> DataFrame:
-    """News (id, text) to rows (id, verdict, kind, reason, place, region, confidence)."""
+    """News (id, text) to rows (id, verdict, kind, reason, place, region, confidence). Places are read where nothing else decides, and once a shape."""
     n = F.col("norm")
-    d = news.select("id", "text", X.normalize(F.col("text")).alias("norm")).withColumn("refused", first_of(n, REFUSED)).withColumn("kind", first_of(n, KINDS)).withColumn("places", read_places(F.col("text")))
+    d = news.select("id", "text", X.normalize(F.col("text")).alias("norm")).withColumn("refused", first_of(n, REFUSED)).withColumn("kind", first_of(n, KINDS))
     before = F.regexp_extract(n, "^(.*?)(?:اقتحم|تقتحم|يقتحم|اقتحام|مداهمه)", 1)
     kind = F.when((F.col("kind") == "raid") & before.rlike(SETTLER) & ~before.rlike(ARMY), "settler_attack").when((F.col("kind") == "land_levelling") & n.rlike(HOMES), "demolition").otherwise(F.col("kind"))
     guard = (
         F.when((F.col("kind") == "death") & n.rlike(FUNERAL), "obituary or funeral").when((F.col("kind") == "arrest") & n.rlike(RELEASE) & ~n.rlike(HARM) & ~n.rlike(AGAIN), "release")
         .when(F.col("kind").isin("injury", "death") & n.rlike(ACCIDENT), "traffic accident").when(n.rlike(TESTIMONY) & ~n.rlike(SIEGE), "testimony").when((F.col("kind") == "closure") & n.rlike(REOPENED), "reopening")
     )
-    names = F.col("places.names")
-    place, region = F.when(F.size(names) > 0, F.get(names, F.lit(0))), F.col("places.governorate")
     short = F.col("text").isNull() | (F.length(F.btrim("text")) < 25)
     reason = F.when(short, "too short").when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("kind").isNull(), "no incident verb").otherwise(guard)
-    d = d.select("id", kind.alias("kind"), reason.alias("reason"), place.alias("place"), region.alias("region"), F.col("kind").isNull().alias("none"), (short | F.col("refused").isNotNull()).alias("out"))
+    d = d.select("id", "text", kind.alias("kind"), reason.alias("reason"), F.col("kind").isNull().alias("none"), (short | F.col("refused").isNotNull()).alias("out"))
+    d = d.withColumn("words", F.when(F.col("reason").isNull(), tokens(F.col("text")))).drop("text")
+    d = written(d.withColumn("shape", shape(F.col("words"))), "news")
+    places = written(d.where("shape IS NOT NULL").select("shape").distinct().select("shape", read_places(F.col("shape")).alias("places")), "places")  # its size tells Spark whether they are few
+    d = d.join(places, "shape", "left").withColumn("place", named(F.get("places.names", F.lit(0)), F.col("words"))).withColumn("region", F.col("places.governorate"))
     nowhere = F.col("place").isNull() & F.col("region").isNull()
     verdict = F.when(F.col("out"), "rejected").when(F.col("none"), "unclear").when(F.col("reason").isNotNull(), "rejected").when(nowhere, "unclear").otherwise("incident")
     ok = verdict == "incident"

@@ -115,6 +115,24 @@ def read_places(text: Column) -> Column:
     )
 
 
+_KNOWN = sorted({*SETTLEMENT, *STATION, *CUE, BETWEEN, ENTRANCE, *PREFIX, *BEARING, *REGION_HEAD, *GOVERNORATE, *PERSON, *STOP})
+
+
+def shape(words: Column) -> Column:
+    """Tokens as far as the fold can tell them apart, as a text: one that it cannot know is x and the place of its first occurrence. Names read of it, with `named`, are those of the text.
+
+    The fold takes at most three letters off a token's head; a leading "and", a single letter, numbers and bullets it sees by themselves.
+    """
+    ends = lambda w: F.substring(w, 1, 1000).isin(_KNOWN) | F.substring(w, 2, 1000).isin(_KNOWN) | F.substring(w, 3, 1000).isin(_KNOWN) | F.substring(w, 4, 1000).isin(_KNOWN)
+    kept = lambda w: ends(w) | (F.length(w) < 2) | w.startswith("و") | w.contains("رصاص") | w.rlike("^[0-9]+$")
+    return F.array_join(F.transform(words, lambda w: F.when(kept(w), w).otherwise(F.concat(F.lit("x"), F.array_position(words, w).cast("string")))), " ")
+
+
+def named(name: Column, words: Column) -> Column:
+    """A name that was read of a shape, in the words of its text."""
+    return F.array_join(F.transform(F.split(name, " "), lambda w: F.when(w.rlike("^x[0-9]+$"), F.get(words, F.substring(w, 2, 1000).cast("int") - 1)).otherwise(w)), " ")
+
+
 def located(news: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """News (id, text) to rows (id, place_id, name, governorate): the most trusted candidate that the gazetteer (place_id, name, governorate) knows.
 
