@@ -18,15 +18,16 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans.spec import Refused
-from tidemark.plans.steps import written
+from tidemark.plans.steps import dropped, written
 
 KEY = ["dataset", "identity"]
 OPENS = ["new", "kept_copy", "correction"]
+ALONE = ["absent", "held"]  # held rows of which nothing is emitted
 
 
 @dataclass(frozen=True)
@@ -121,33 +122,36 @@ class Table:
 
 
 def classed(emitted: DataFrame, held: DataFrame, contract: Contract, fallback: bool) -> DataFrame:
-    """Emitted rows without drops, one a stable id, with `class` and `copies`, how many shared the stable id.
+    """Emitted rows without drops, one a stable id, with `class`, and held keyed rows.
 
     An identity's first row stands for it: it is new, the same as held, a correction, or refused as it comes from a
     fallback; what follows in the same run is a duplicate or a conflict. Rows without identity are held by stable id only.
+    A held row is `had` of its identity's first row; where nothing of its identity is emitted, it is a row of its own,
+    absent if its dataset is complete and else held. So each side is shuffled once by stable id and once by identity.
     """
-    whole = F.struct(*emitted.columns)
-    one = emitted.where("drop IS NULL").groupBy("dataset", "stable_id").agg(F.min_by(whole, F.col("seq")).alias("r"), F.count(F.lit(1)).alias("copies")).select("r.*", "copies")
-    first = one.where("identity IS NOT NULL").groupBy(*KEY).agg(F.min(F.struct("seq", "content")).alias("first"))
-    had = held.where("identity IS NOT NULL").select(*KEY, F.struct("content").alias("had"))
-    ids = held.select("dataset", "stable_id", F.lit(True).alias("id_held")).distinct()
-    df = one.join(first.join(had, KEY, "left"), KEY, "left").join(ids, ["dataset", "stable_id"], "left")
-    loose = [d for d, r in contract.rules.items() if r.indistinguishable]
+    # what tells most rows apart leads the sorts; only the first rows of a key are shuffled
+    by_id = ["stable_id", "dataset"]
+    one = emitted.where("drop IS NULL").withColumn("_n", F.row_number().over(Window.partitionBy(*by_id).orderBy("seq"))).where("_n = 1").drop("_n")
+    ids = held.select(*by_id).distinct().withColumn("id_held", F.lit(True))
+    # rows without identity are keys of their own: they meet nothing and do not gather in one task
+    own = one.join(ids, by_id, "left").withColumns({"_key": F.coalesce("identity", "stable_id"), "_keyed": F.col("identity").isNotNull()})
+    at = ["_key", "dataset", "_keyed"]
+    upto = Window.partitionBy(*at).orderBy("seq", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = own.withColumns({"first": F.first(F.struct("seq", "content")).over(upto), "_n": F.row_number().over(upto)})
+    had = held.where("identity IS NOT NULL").select(F.col("identity").alias("_key"), "dataset", F.col("identity").isNotNull().alias("_keyed"), F.struct(*held.columns).alias("had"))
+    df = run.join(had, at, "full")
+    loose, complete = ([d for d, r in contract.rules.items() if getattr(r, x)] for x in ("indistinguishable", "complete"))
     same = F.col("content").eqNullSafe(F.col("had.content"))
     later = F.col("seq") != F.col("first.seq")
     kind = (
-        F.when(F.col("identity").isNull(), F.when(F.col("id_held"), "refetched").when(F.col("dataset").isin(loose), "kept_copy").otherwise("new"))
+        F.when(F.col("_n").isNull(), F.when(F.col("dataset").isin([] if fallback else complete), "absent").otherwise("held"))
+        .when(F.col("identity").isNull(), F.when(F.col("id_held"), "refetched").when(F.col("dataset").isin(loose), "kept_copy").otherwise("new"))
         .when(later, F.when(F.col("content").eqNullSafe(F.col("first.content")), "duplicate_in_run").otherwise("conflict_in_run"))
         .when(F.col("had").isNull(), F.when(F.col("id_held"), "stable_id_disagrees").otherwise("new"))
         .when(same, "held_same").otherwise("fallback_refused" if fallback else "correction")
     )
-    return df.select(*emitted.columns, "copies", kind.alias("class"))
-
-
-def absent(rows: DataFrame, held: DataFrame, contract: Contract) -> DataFrame:
-    """Held keys of complete datasets that a load does not emit."""
-    complete = [d for d, r in contract.rules.items() if r.complete]
-    return held.where(F.col("dataset").isin(complete) & F.col("identity").isNotNull()).select(KEY).join(rows.select(KEY).distinct(), KEY, "left_anti")
+    values = [F.coalesce("identity", "had.identity").alias(c) if c == "identity" else F.col(c) for c in emitted.columns]
+    return df.select(*values, kind.alias("class"), F.when(F.coalesce("_n", F.lit(1)) == 1, F.col("had")).alias("had"))
 
 
 def problems(emitted: DataFrame, rows: DataFrame, held: DataFrame, gone: DataFrame, contract: Contract) -> list[str]:
@@ -193,19 +197,20 @@ def load(table: Table, emitted: DataFrame, contract: Contract, now: int, fallbac
         version = table.version()
         held = table.rows("open", version)
         emitted = written(emitted, "emitted")
-        rows = written(classed(emitted, held, contract, fallback), "classed")
-        gone = written(absent(rows, held, contract) if not fallback else held.select(KEY).limit(0), "absent")
+        both = written(classed(emitted, held, contract, fallback), "classed")
+        rows, gone = both.where(~F.col("class").isin(ALONE)), both.where("class = 'absent'").select(KEY)
         if found := problems(emitted, rows, held, gone, contract):
             raise Refused("; ".join(found))
-        closing = rows.where("class = 'correction'").select(KEY).unionByName(gone)
-        anew = [r.dataset for r in closing.select("dataset").distinct().collect()]  # of the contract's datasets
-        new = rows.where(F.col("class").isin(OPENS)).drop("copies", "class", "drop").withColumn("sys_from", F.lit(now).cast("long")).withColumn("sys_to", F.lit(None).cast("long"))
-        stay = held.where(F.col("dataset").isin(anew)).join(closing, KEY, "left_anti").select(table.schema.names)
+        closing = F.col("class").isin("correction", "absent")
+        anew = [r.dataset for r in both.where(closing).select("dataset").distinct().collect()]  # of the contract's datasets
+        new = rows.where(F.col("class").isin(OPENS)).drop("class", "drop", "had").withColumn("sys_from", F.lit(now).cast("long")).withColumn("sys_to", F.lit(None).cast("long"))
+        stay = both.where(F.col("dataset").isin(anew) & F.col("had").isNotNull() & ~closing).select("had.*").unionByName(held.where(F.col("dataset").isin(anew) & F.col("identity").isNull()))
         at = f"{table.path}/load-{version + 1}"
-        stay.unionByName(new.select(table.schema.names)).write.mode("overwrite").partitionBy("dataset").parquet(f"{at}/open")
-        held.join(closing.distinct(), KEY, "left_semi").withColumn("sys_to", F.lit(now).cast("long")).select(table.schema.names).write.mode("overwrite").parquet(f"{at}/closed")
+        stay.select(table.schema.names).unionByName(new.select(table.schema.names)).write.mode("overwrite").partitionBy("dataset").parquet(f"{at}/open")
+        both.where(closing).select("had.*").withColumn("sys_to", F.lit(now).cast("long")).select(table.schema.names).write.mode("overwrite").parquet(f"{at}/closed")
         report = rows.groupBy("dataset", "class").agg(F.count(F.lit(1)).alias("n")).unionByName(gone.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).withColumn("class", F.lit("absent_closed")))
-        repeated = rows.groupBy("dataset").agg((F.sum("copies") - F.count(F.lit(1))).alias("n")).where("n > 0").withColumn("class", F.lit("stable_id_repeated"))
+        least = emitted.where("drop IS NULL").groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).unionByName(rows.groupBy("dataset").agg((-F.count(F.lit(1))).alias("n")))
+        repeated = least.groupBy("dataset").agg(F.sum("n").alias("n")).where("n > 0").withColumn("class", F.lit("stable_id_repeated"))
         report.unionByName(repeated).unionByName(emitted.where("drop IS NOT NULL").groupBy("dataset", F.concat(F.lit("drop:"), "drop").alias("class")).agg(F.count(F.lit(1)).alias("n"))).write.mode("overwrite").parquet(f"{at}/report")
         old = table.manifest(version)
         touched = [r.dataset for r in rows.where(F.col("class").isin(OPENS)).select("dataset").distinct().collect()]  # as many as the contract names
@@ -213,4 +218,6 @@ def load(table: Table, emitted: DataFrame, contract: Contract, now: int, fallbac
         for d in {*anew, *touched}:
             opened[d] = [*opened.get(d, []), version + 1]
         table.commit({"open": opened, "closed": [*old["closed"], version + 1]}, version + 1)
+        dropped(emitted)
+        dropped(both)
     return table.spark.read.parquet(f"{at}/report")
