@@ -1,6 +1,7 @@
 """HTML extraction, source divergence, phrase collocations; ties and repeats of the mix; headers of the archive."""
 
 import itertools
+import os
 import random
 
 import duckdb
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, extraction, mixing, phrases, warc
+from tidemark.llm import divergence, extraction, jaccard, mixing, phrases, warc
 from tidemark.llm.common import new_path, qualified
 from tidemark.llm.registry import ORACLE, QUERIES
 
@@ -207,3 +208,17 @@ def test_urls_with_control_characters(spark):
 
 def test_paths_without_a_scheme(spark):
     assert qualified(spark, "/x/y") == "file:///x/y" and qualified(spark, "file:///x") == "file:///x" and new_path(spark, "t").startswith("file:///")
+
+
+def test_index_keys_are_made_once(spark, monkeypatch):
+    """op10: shingles are hashed into keys once and read again from files, which go when the members are known."""
+    seen = []
+    plain = jaccard.meet
+    monkeypatch.setattr(jaccard, "meet", lambda rows, *rest, **more: seen.append(rows) or plain(rows, *rest, **more))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words are here")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    made = next(df for df in seen if df.columns == ["k", "c"])
+    assert "MapInArrow" not in made._jdf.queryExecution().toString()
+    assert not any(os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in made.inputFiles())

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import docs_of, meet, written
+from tidemark.llm.common import docs_of, dropped, meet, written
 from tidemark.llm.graph import components
 from tidemark.llm.windows import K1, K2, K3, Hashes, keyed, mix, segments, text_bytes, word_symbols
 
@@ -298,9 +298,10 @@ def _joined(rows: DataFrame, percent: int, n: int, tile: int, rounds: int) -> tu
     reps = rows.select(F.col("d").alias("c"), "text").join(info.select("c").hint("merge"), "c", "left_semi").dropDuplicates(["c"])
     reps = written(reps, "reps")
 
-    made = keys(reps, percent, n)
+    made = written(keys(reps, percent, n), "made")  # read twice: shingles cost more than their keys' files
     shared = made.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo != hi").select("k", "g")
     members = written(meet(made, written(shared, "shared"), ["k"], "g", ["c"]), "members")
+    dropped(made)
     sets = written(_sets(reps.join(members.select("c").distinct(), "c", "left_semi"), n), "sets")
 
     links = None
