@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,6 @@ from pyspark.sql import types as T
 from tidemark.functions import text as X
 from tidemark.operators.places import GENERIC, penalty
 from tidemark.plans.register import query
-from tidemark.plans.steps import spread
 from tidemark.sources.analogues import table
 
 
@@ -34,38 +35,50 @@ def fn_seqmatch(spark, sf_dir):
 
 
 def alike(a: str, b: str, least: float) -> bool:
-    """Whether the ratio is least or more; its two upper bounds come first, as they cost far less."""
-    m = SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
-
-
-def collapsed(members: DataFrame, least: float = 0.90, head: int = 300) -> DataFrame:
+    """Whether the ratio of the whole texts is least or more. Bounds by lengths and by letters come first; then blocks are found as the ratio finds them, the widest open stretch first, until those still open cannot add up to it."""
+    whole = len(a) + len(b)
+    if a == b or not whole:
+        return least <= 1.0
+    reach = lambda n: 2.0 * n / whole >= least
+    if not reach(min(len(a), len(b))) or not reach((Counter(a) & Counter(b)).total()):
+        return False
+    m, sure = SequenceMatcher(None, a, b), 0
+    most, open_ = min(len(a), len(b)), [(-min(len(a), len(b)), 0, len(a), 0, len(b))]
+    while open_ and reach(most) and not reach(sure):
+        width, i, j, k, n = heappop(open_)
+        x, y, size = m.find_longest_match(i, j, k, n)
+        most, sure = most + width + size, sure + size
+        for part in ((i, x, k, y), (x + size, j, y + size, n)) if size else ():
+            if (width := min(part[1] - part[0], part[3] - part[2])) > 0:
+                most += width
+                heappush(open_, (-width, *part))
+    return reach(sure)
+
+
+def collapsed(members: DataFrame, least: float = 0.90) -> DataFrame:
     """members (cluster, at, unit, text): how many units of each cluster spoke in their own words.
 
     In order of time a unit whose text is as good as an earlier one's of another unit joins it. The
     fold keeps one text a unit, so its size is the number of units, not of members: each unit's
-    first text stands for it.
+    first text stands for it, whole.
     """
-    first = members.groupBy("cluster", "unit").agg(F.min_by(F.struct("at", F.substring(F.coalesce("text", F.lit("")), 1, head).alias("text")), F.struct("at", "text")).alias("m"))
+    first = members.groupBy("cluster", "unit").agg(F.min_by(F.struct("at", F.coalesce("text", F.lit("")).alias("text")), F.struct("at", "text")).alias("m")).select("cluster", "unit", "m.*")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for cluster, units in zip(pdf["cluster"], pdf["units"], strict=True):
-                seen: list[tuple[str, str]] = []
-                for u in units:
-                    if not any(u["text"] and t and alike(u["text"], t, least) for _, t in seen):
-                        seen.append((u["unit"], u["text"]))
-                out.append((cluster, len(units), len(seen)))
-            yield pd.DataFrame(out, columns=["cluster", "units", "voices"])
+    def fold(units: pa.Table) -> pa.Table:
+        seen: list[str] = []
+        for u in sorted(units.to_pylist(), key=lambda u: [(v is not None, v) for v in (u["at"], u["unit"])]):
+            if not any(u["text"] and t and alike(u["text"], t, least) for t in seen):
+                seen.append(u["text"])
+        return pa.table({"cluster": units["cluster"][:1].combine_chunks(), "units": [len(units)], "voices": [len(seen)]})
 
-    g = first.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("m.at", "unit", "m.text"))).alias("units"))
-    return spread(g).mapInPandas(fold, "cluster long, units long, voices long")
+    # one cluster's texts at a time, over as many tasks as a shuffle has: few bytes can be much work
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return first.repartition(tasks, "cluster").groupBy("cluster").applyInArrow(fold, "cluster long, units long, voices long")
 
 
 @query("gr_mirror_collapse")
 def gr_mirror_collapse(spark, sf_dir):
-    """Documents of neighbouring ids as clusters, sources as units."""
+    """Documents of neighbouring ids as clusters, sources as units; whole texts."""
     d = table(spark, sf_dir, "documents")
     return collapsed(d.select(F.floor(F.col("doc_id") / 20).alias("cluster"), F.col("doc_id").alias("at"), F.col("source").alias("unit"), "text"))
 
