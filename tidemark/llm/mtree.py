@@ -30,6 +30,8 @@ from tidemark.llm.common import written
 K, STEP, SCALE = 5, 50, 256
 ROUTE_ROWS, MOST_ROUTES, RINGS, PAGE, QUERY_BLOCK = 1024, 1024, 4, 512, 1024
 SLACK = 1e-6
+#: Distances that a task holds at once, and about the visits that it hands on at once: neither grows with the table.
+CELLS, VISITS = 1 << 20, 1 << 14
 
 
 def usable(vector: Column) -> Column:
@@ -58,6 +60,14 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
+def slices(batches, width: int):
+    """The rows of batches, so many at a time that each against `width` others makes about CELLS."""
+    step = max(1, CELLS // max(1, width))
+    for b in batches:
+        for at in range(0, len(b), step):
+            yield b.iloc[at : at + step]
+
+
 class Tree:
     """The directory: routes, and the rings' ranges of distances; of bounded size."""
 
@@ -101,7 +111,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_
 
     def place(batches):
         t = shared.value
-        for b in batches:
+        for b in slices(batches, len(t.routes)):
             v = matrix(b["v"], t.width)
             d = t.distances(v, np.sqrt(np.maximum(0, t.norm - (v**2).sum(axis=1))))
             route = d.argmin(axis=1)
@@ -125,7 +135,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_
         def plan(batches):
             t = shared.value
             r = t.rings
-            for b in batches:
+            for b in slices(batches, len(r)):
                 q = matrix(b["v"], t.width)
                 d = t.distances(q, 0.0)
                 bound = t.bounds(d)
@@ -137,10 +147,12 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, id_
                 else:
                     beat = b["beat"].fillna(-np.inf).to_numpy(float)
                     open_ = t.best_score(q, bound) >= beat[:, None]
-                at, which = np.nonzero(open_)
-                at, which = (np.repeat(x, r["pages"].to_numpy()[which]) for x in (at, which))
-                page = np.arange(len(at)) - np.maximum.accumulate(np.where(np.r_[True, (at[1:] != at[:-1]) | (which[1:] != which[:-1])], np.arange(len(at)), 0)) if len(at) else at
-                yield pd.DataFrame({"route": r["route"].to_numpy()[which], "ring": r["ring"].to_numpy()[which], "page": page.astype("int32"), "block": b["block"].to_numpy()[at], "id": b["id"].to_numpy()[at], "v": b["v"].to_numpy()[at], "d": d[at, r["route"].to_numpy()[which]], "beat": np.full(len(at), np.nan) if first else beat[at]})
+                rows, found = np.nonzero(open_)
+                cuts = np.flatnonzero(np.diff((np.cumsum(r["pages"].to_numpy()[found]) - 1) // VISITS)) + 1
+                for at, which in zip(np.split(rows, cuts), np.split(found, cuts), strict=True):
+                    at, which = (np.repeat(x, r["pages"].to_numpy()[which]) for x in (at, which))
+                    page = np.arange(len(at)) - np.maximum.accumulate(np.where(np.r_[True, (at[1:] != at[:-1]) | (which[1:] != which[:-1])], np.arange(len(at)), 0)) if len(at) else at
+                    yield pd.DataFrame({"route": r["route"].to_numpy()[which], "ring": r["ring"].to_numpy()[which], "page": page.astype("int32"), "block": b["block"].to_numpy()[at], "id": b["id"].to_numpy()[at], "v": b["v"].to_numpy()[at], "d": d[at, r["route"].to_numpy()[which]], "beat": np.full(len(at), np.nan) if first else beat[at]})
 
         return plan
 
