@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators.places import fold_for_match
 from tidemark.plans.register import query
-from tidemark.plans.steps import written
+from tidemark.plans.steps import dropped, written
 from tidemark.sources.analogues import table
 
 FLOOR = 0.6
@@ -29,7 +29,7 @@ def candidates(readings: DataFrame, stations: DataFrame, floor: float = FLOOR) -
     names = lambda df, c: written(df.select("region", c).distinct().withColumn(f"g{c}", X.grams(F.col(c), 2)), "names")
     near = X.similar(names(a, "a"), names(b, "b"), floor / (2 - floor), ["region"])
     dice = F.round(2 * F.col("similarity") / (1 + F.col("similarity")), 9)
-    return a.join(near.withColumn("score", dice), ["region", "a"]).join(b, ["region", "b"]).select("card", "pass", "name", "station", "score")
+    return a.join(near.withColumn("score", dice).hint("merge"), ["region", "a"]).join(b.hint("merge"), ["region", "b"]).select("card", "pass", "name", "station", "score")
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:
@@ -37,6 +37,7 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     live, fixed = written(pairs, "pairs"), None
     order = F.struct((-F.col("score")).alias("s"), "name", "station")
     while not live.isEmpty():
+        done = live
         reading = live.groupBy("card", "pass", "name").agg(F.min(order).alias("r"))
         station = live.groupBy("card", "pass", "station").agg(F.min(order).alias("t"))
         mutual = live.withColumn("o", order).join(reading, ["card", "pass", "name"]).join(station, ["card", "pass", "station"]).where("o = r AND o = t").select(pairs.columns)
@@ -44,6 +45,7 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
         fixed = mutual if fixed is None else fixed.unionByName(mutual)
         live = live.join(mutual.select("card", "pass", "name"), ["card", "pass", "name"], "left_anti").join(mutual.select("card", "pass", "station"), ["card", "pass", "station"], "left_anti")
         live = written(live.select(pairs.columns), "pairs")
+        dropped(done)
     return live if fixed is None else fixed
 
 
